@@ -90,15 +90,15 @@ def _(t):
     return clean.fill_language(unknown, profiles).groupBy("given", "language").agg(F.count("*").alias("n"))
 
 
-PACK = "SELECT run_id, ord, length(content) AS chars, row_number() OVER (PARTITION BY run_id ORDER BY ord) - 1 AS row_index FROM clean_reviews"
-cte("packed", f"""
-SELECT run_id, row_index, chars, CAST(0 AS BIGINT) AS batch, 1 AS in_batch, chars AS total FROM ({PACK}) WHERE row_index = 0
+cte("pack_rows", "SELECT run_id, ord, length(content) AS chars, row_number() OVER (PARTITION BY run_id ORDER BY ord) - 1 AS row_index FROM clean_reviews")
+cte("packed", """
+SELECT run_id, row_index, chars, CAST(0 AS BIGINT) AS batch, 1 AS in_batch, chars AS total FROM pack_rows WHERE row_index = 0
 UNION ALL
 SELECT n.run_id, n.row_index, n.chars,
        CASE WHEN p.in_batch >= 8 OR p.total + n.chars > 9000 THEN p.batch + 1 ELSE p.batch END,
        CASE WHEN p.in_batch >= 8 OR p.total + n.chars > 9000 THEN 1 ELSE p.in_batch + 1 END,
        CASE WHEN p.in_batch >= 8 OR p.total + n.chars > 9000 THEN n.chars ELSE p.total + n.chars END
-FROM packed p JOIN ({PACK}) n ON n.run_id = p.run_id AND n.row_index = p.row_index + 1
+FROM packed p JOIN pack_rows n ON n.run_id = p.run_id AND n.row_index = p.row_index + 1
 """)
 
 
