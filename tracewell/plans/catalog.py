@@ -4,6 +4,7 @@ from . import sqlbase  # noqa: F401
 from . import cleaning  # noqa: F401
 from . import evidence  # noqa: F401
 from . import ops  # noqa: F401
+from . import search  # noqa: F401
 from .registry import QUERIES, expand
 
 __all__ = ["QUERIES", "expand"]
