@@ -6,6 +6,7 @@ from . import evidence  # noqa: F401
 from . import ops  # noqa: F401
 from . import search  # noqa: F401
 from . import evaluation  # noqa: F401
+from . import ingest  # noqa: F401
 from .registry import QUERIES, expand
 
 __all__ = ["QUERIES", "expand"]

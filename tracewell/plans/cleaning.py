@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.scan import row_numbers
-from ..operators import clean
+from ..operators import clean, neardup
 from .registry import cte, query
 from .sqlbase import comp, fold, norm
 
@@ -148,3 +148,13 @@ def _(t):
     return rows.select("ord", "language").join(kept, "ord", "left").groupBy("language").agg(
         F.count("*").alias("n"), F.count_if(F.col("kept").isNull()).alias("exact_copies")
     )
+
+
+@query("clean_duplicates_resolved", "CLN-4", "CLN-6")
+def _(t):
+    return neardup.resolve_duplicates(hashed(t.reviews))
+
+
+@query("clean_stats_full", "CLN-6", "CLN-7", "CLN-9")
+def _(t):
+    return clean.cleaning_stats(neardup.clean_reviews(t.shared_id_reviews), ["run_id"])
