@@ -20,13 +20,23 @@ PRICES = [  # fixed values: model prefix, cents per million prompt and completio
 ]
 
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
+def in_parallel(df: DataFrame, key: str) -> DataFrame:
+    """Spread a text table that arrives in fewer splits than there are cores; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return in_parallel(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
     # ---- reviews ----
 
