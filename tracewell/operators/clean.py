@@ -146,7 +146,7 @@ def pack_batches(
     max_chars: int,
     ord_col: str = "ord",
     length_col: str = "chars",
-    width: int = 16_384,
+    width: int = 262_144,
 ) -> DataFrame:
     """Greedy order-preserving packing, in parallel within a key.
 

@@ -36,7 +36,7 @@ def price_usage(usage: DataFrame, prices: DataFrame, model: str = "model") -> Da
     best = cut.join(prefixes, "prefix").groupBy(model).agg(
         F.min_by(F.struct("prompt_cents", "completion_cents"), "ord").alias("price")
     )
-    priced = usage.join(F.broadcast(best), model, "left")  # one row per known model name
+    priced = usage.join(best, model, "left")
     cents = lambda field, i: F.coalesce(F.col(f"price.{field}"), F.lit(DEFAULT_PRICE[i]))
     return (
         priced.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
