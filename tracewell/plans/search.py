@@ -77,7 +77,7 @@ class Search:
         return self.found.join(docs, "ord")
 
 
-@query("search_tokens", "RET-1", sql="SELECT ord, count(*) AS n, sum(length(term)) AS chars, CAST(bit_xor(CAST('0x' || substr(sha256(term || '|' || pos), 1, 15) AS BIGINT)) AS BIGINT) AS digest FROM token_rows GROUP BY ord")
+@query("search_tokens", "RET-1", sql="SELECT ord, count(*) AS n, CAST(sum(length(term)) AS BIGINT) AS chars, CAST(bit_xor(CAST('0x' || substr(sha256(term || '|' || pos), 1, 15) AS BIGINT)) AS BIGINT) AS digest FROM token_rows GROUP BY ord")
 def _(t):
     return se.tokenize(t.corpus).groupBy("ord").agg(
         F.count("*").alias("n"), F.sum(F.length("term")).alias("chars"),
