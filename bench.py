@@ -10,11 +10,11 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "clean_language_summary", "clean_exact_marks", "clean_batches", "clean_duplicates_resolved",
+    "clean_language_summary", "clean_exact_marks", "clean_batches",
     "evidence_findings", "chain_requirements", "chain_trace_issues",
-    "search_term_stats", "search_bm25", "search_many_apps", "search_vectors", "search_hybrid",
+    "search_bm25", "search_many_apps", "search_vectors", "search_hybrid",
     "usage_rollup", "usage_stage_timing", "usage_budget_crossing", "prune_events_kept", "prune_runs_children",
-    "eval_retrieval_summary", "infer_cache_lookup", "ingest_valid_rows", "status_alerts", "alerts_fired",
+    "infer_cache_lookup", "ingest_valid_rows", "status_alerts", "alerts_fired", "clean_duplicates_resolved",
 ]
 
 

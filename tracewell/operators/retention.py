@@ -68,9 +68,9 @@ def latest_report(reports: DataFrame) -> DataFrame:
 
 def change_summary(reports: DataFrame) -> DataFrame:
     """First report of an app, and every change of the number of findings against the one before."""
-    year = F.date_trunc("year", "created_at")
+    day = F.date_trunc("day", "created_at")
     order = reports.withColumn("__at", F.struct("created_at", "report_id"))
-    rows = previous(order, ["app_url"], "__at", F.col("findings_count"), "before", block=year)
+    rows = previous(order, ["app_url"], "__at", F.col("findings_count"), "before", block=day)
     return rows.where(F.col("before").isNull() | (F.col("before.v") != F.col("findings_count"))).select(
         "app_url", "report_id",
         F.when(F.col("before").isNull(), "首次报告")
