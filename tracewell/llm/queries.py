@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage_path, tune
-from . import archive, mixing, token_files
+from . import archive, decontamination, mixing, simhash, token_files
 from .common import table
 
 QUERIES: dict = {}
@@ -103,3 +103,39 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), stage_path(spark, "tokens")
     token_files.write(docs, path, word_bpe(), end_id=1)
     return token_files.by_key(docs.select("doc_id"), path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op8_simhash_classes")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+WORD9 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWER9 = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op9_benchmark_overlap", sql=f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({LOWER9.format("coalesce(text, '')")}, '{WORD9}') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all({LOWER9.format("coalesce(text, '')")}, '{WORD9}') AS w FROM benchmark
+), iw AS (
+  SELECT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS words
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)
+), dw AS (
+  SELECT r, n, s, array_to_string(w[s : s + n - 1], ' ') AS words
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)
+), hits AS (
+  SELECT DISTINCT r, n, s, words FROM dw WHERE words IN (SELECT words FROM iw)
+), hit AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hits) GROUP BY r
+), owners AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits JOIN iw USING (words)) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN owners USING (r)
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -93,7 +93,7 @@ def write(
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = ["doc_id", "__h"]  # the text's hash lets documents of one key go to several shards
     rows = rows.withColumn("__h", F.xxhash64("text")).repartitionByRange(parts_of(docs.count(), docs_per_shard), *order)
-    rows.sortWithinPartitions(*order).select("doc_id", "text").mapInPandas(
+    rows.sortWithinPartitions(*order).select(F.col("doc_id").cast("string"), "text").mapInPandas(
         lambda batches: _encoded(batches, tokenizer, end_id, dtype, page_tokens), PAGES).write.parquet(f"{path}/pages")
     spark.createDataFrame([(dtype, end_id)], "dtype string, end_id int").coalesce(1).write.parquet(f"{path}/format")
     pages = spark.read.parquet(f"{path}/pages")
@@ -114,10 +114,10 @@ def _encoded(batches: Iterator[pd.DataFrame], path: str, end_id: int, dtype: str
     shard, page, width = TaskContext.get().partitionId(), 0, np.dtype(dtype).itemsize
     ids, ends, parts, total = [], [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.doc_id.astype("Int64"), batch.text, strict=True):
+        for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
             parts.append(encode(text) + end)
             total += len(parts[-1]) // width
-            ids.append(None if doc_id is pd.NA else int(doc_id))
+            ids.append(None if doc_id is None else int(doc_id))
             ends.append(total)
             if total >= page_tokens:
                 yield pd.DataFrame({"shard": [shard], "page": [page], "doc_ids": [ids], "ends": [ends], "ids": [b"".join(parts)]})
