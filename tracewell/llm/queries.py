@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage_path, tune
-from . import archive, decontamination, mixing, simhash, token_files
-from .common import table
+from . import archive, decontamination, lm_scoring, mixing, simhash, token_files
+from .common import remainder, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -139,3 +139,11 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN owners USING (r)
 """)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_lattice_scores")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.scores(docs, remainder("doc_id", 10) == 0, public_tokenizers.path("piece_bpe_32k.model"))
