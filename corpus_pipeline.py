@@ -1,12 +1,69 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read by the next.
+
+A stage that drops documents names a row by a 64-bit hash of its id and text, so ids may be null or
+repeat. Every stage keeps the columns of its input, but for the last, which reports the token files.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewell.llm import decontamination, mixing, quality, queries, simhash, token_files
+from tracewell.llm.common import remainder, table
+from tracewell.session import stage_path, staged, tune
+
+#: Near duplicates: five-word shingles; SimHash with this many sets of hashes, each within three bits.
+SHINGLE, TURNS, RADIUS = 5, 8, 3
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    return quality.accepted(docs, model)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least id."""
+    keyed = _keyed(docs)
+    prints = staged(simhash.fingerprints(keyed, SHINGLE, TURNS, id_col="__key", keep=("doc_id",)), "pipeline-prints")
+    found = simhash.classes(prints, RADIUS).withColumnRenamed("id", "key")
+    members = staged(found.join(prints.select("key", "doc_id").distinct(), "key"), "pipeline-groups")
+    first = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    gone = members.join(first, "component").where(F.col("key") != F.col("first.key")).select(F.col("key").alias("__key"))
+    rows = keyed.join(gone, "__key", "left_anti")
+    again = prints.groupBy(F.col("key").alias("__key")).count().where("count > 1").select("__key")
+    one = rows.join(again, "__key", "left_semi").dropDuplicates(["__key", "doc_id", "text"])
+    return rows.join(again, "__key", "left_anti").unionByName(one).select(*docs.columns)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any ten consecutive words of a benchmark item."""
+    keyed = _keyed(docs)
+    found = decontamination.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="__key")
+    gone = found.where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(gone, "__key", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a document is there as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, and what they hold per document, found through their index."""
+    path = stage_path(spark, "pipeline-tokens")
+    token_files.write(docs, path, queries.word_bpe(), end_id=1)
+    return token_files.by_key(docs.select("doc_id"), path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
-from tracewell.session import staged, tune
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", good), ("SimHash near-dedup", distinct), ("benchmark decontamination", uncontaminated),
+    ("mixing sources to target weights", mix), ("token-ID output", tokens)]
 
 #: A trained classifier is the first stage, so SQL can't express the rows of run().
 ORACLE_SQL = None
@@ -15,5 +72,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tune(spark).read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

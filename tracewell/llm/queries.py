@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage_path, tune
-from . import archive, decontamination, lm_scoring, mixing, simhash, token_files
+from . import ann, archive, chat, decontamination, lm_scoring, mixing, quality, simhash, site_lines, token_files
 from .common import remainder, table
 
 QUERIES: dict = {}
@@ -147,3 +147,57 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return lm_scoring.scores(docs, remainder("doc_id", 10) == 0, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op3_quality_scores")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = remainder("doc_id", 4) == 2
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~out)
+    return quality.classified(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+@query("op1_graph_neighbours")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op2_chat_tokens")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    read = chat.read_back(chat.formatted(turns, path), path)
+    return read.withColumn("conv_id", F.col("conv_id").cast("bigint"))
+
+
+def _lines_sql() -> str:
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    text = f"regexp_replace(coalesce(html, ''), {q(site_lines.HIDDEN)}, chr(10), 'g')"
+    text = f"regexp_replace(regexp_replace({text}, {q(site_lines.BLOCK)}, chr(10), 'g'), {q(site_lines.TAG)}, '', 'g')"
+    for entity, char in site_lines.ENTITIES.items():
+        text = f"replace({text}, {q(entity)}, {q(char)})"
+    text = f"regexp_replace(regexp_replace({text}, '[ \\t\\r]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
+    return f"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, nullif(lower(regexp_extract(url, {q(site_lines.HOST)}, 1)), '') AS host,
+         list_filter(string_split(trim({text}), chr(10)), lambda x: x <> '') AS lines
+  FROM pages
+), ln AS (
+  SELECT r, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM p
+), dropped AS (
+  SELECT host, line FROM (SELECT DISTINCT r, host, line FROM ln) s GROUP BY host, line
+  HAVING count(*) > (SELECT count(*) FROM p q WHERE q.host = s.host) * 0.3 AND count(*) > 1 AND (SELECT count(*) FROM p q WHERE q.host = s.host) >= 5
+)
+SELECT page_id, p.host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(count(d.line) AS BIGINT) AS n_dropped,
+       coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (d.line IS NULL AND l.line IS NOT NULL), '') AS text
+FROM p LEFT JOIN ln l USING (r) LEFT JOIN dropped d ON d.host = l.host AND d.line = l.line GROUP BY r, page_id, p.host, lines
+"""
+
+
+@query("op4_site_lines", sql=_lines_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.without_boilerplate(table(spark, sf_dir, "pages"))

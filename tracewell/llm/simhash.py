@@ -69,8 +69,8 @@ def remixed(hashes: np.ndarray, turn: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, turns: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fps: one fingerprint per turn (other hashes of the same shingles)."""
+def fingerprints(docs: DataFrame, shingle: int = 3, turns: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key (the id), fps: one fingerprint per turn (other hashes of the same shingles), and the columns in `keep`."""
 
     @F.pandas_udf("array<bigint>")
     def prints(texts: pd.Series) -> pd.Series:
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, turns: int = 1, id_col: str
         return pd.Series([[majority(remixed(h, t)) for t in range(turns)] for h in hashes], dtype=object)
 
     arrow_rows(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), prints(F.col(text_col)).alias("fps"))
+    return docs.select(F.col(id_col).cast("bigint").alias("key"), *keep, prints(F.col(text_col)).alias("fps"))
 
 
 def shard_masks(nodes: int, radius: int) -> list[int]:
@@ -175,10 +175,10 @@ def links(nodes: DataFrame, radius: int = 3, tree_rows: int = TREE_ROWS) -> Data
 
 
 def classes(prints: DataFrame, radius: int = 3, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """(id, component_id) of every id that isn't its own class: prints has doc_id and fps, a written table."""
-    turns = prints.select(F.posexplode("fps").alias("turn", "fp"), "doc_id").where("doc_id IS NOT NULL")
-    nodes = staged(turns.groupBy("turn", "fp").agg(F.min("doc_id").alias("id")), "simhash-nodes")
-    equal = turns.join(nodes, ["turn", "fp"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    """(id, component_id) of every id that isn't its own class: prints has key and fps, a written table."""
+    turns = prints.select(F.posexplode("fps").alias("turn", "fp"), "key").where("key IS NOT NULL")
+    nodes = staged(turns.groupBy("turn", "fp").agg(F.min("key").alias("id")), "simhash-nodes")
+    equal = turns.join(nodes, ["turn", "fp"]).where("key <> id").select(F.col("key").alias("a"), F.col("id").alias("b"))
     last = prints.select(F.max(F.size("fps"))).head()[0] or 0
     found = None
     for turn in range(last):
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, tree_row
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
     prints = staged(fingerprints(docs, shingle, 1, id_col, text_col), "simhash-prints")
     found = classes(prints, radius, tree_rows)
-    rows = prints.select("doc_id", F.col("fps")[0].alias("fp"))
+    rows = prints.select(F.col("key").alias("doc_id"), F.col("fps")[0].alias("fp"))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("id"))
     named = nodes.join(found.withColumnRenamed("component", "component_id"), "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
     return rows.join(named, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
