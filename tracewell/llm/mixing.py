@@ -112,7 +112,7 @@ def make_plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: i
     certain = rows.groupBy("source").agg(
         F.sum(F.col("__whole") * F.col("size")).alias("certain"), F.sum(F.col("__p") * F.col("size")).alias("open"), F.sum("size").alias("all"))
     pool = rows.where("__p > 0 AND size > 0")
-    share = certain.select(F.col("source").alias("__c"), "certain", F.least(F.lit(0.999999), F.greatest(F.lit(1e-6), F.coalesce(F.col("open") / F.col("all"), F.lit(0.5)))).alias("__mean"))
+    share = certain.select(F.col("source").alias("__c"), "certain", F.least(F.lit(0.999999), F.greatest(F.lit(1e-6), F.coalesce(F.try_divide("open", "all"), F.lit(0.5)))).alias("__mean"))
     pool = pool.join(share, F.col("source").eqNullSafe(F.col("__c"))).drop("__c").withColumn("__left", F.col("target") - F.col("certain"))
     # The mean odds undo the division by odds(p), so equal probabilities fill the ranges evenly.
     even = F.col("__q") * _odds(F.col("__mean"))

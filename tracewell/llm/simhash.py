@@ -113,38 +113,40 @@ def _shards(batches: Iterator[pd.DataFrame], radius: int, tree_rows: int) -> Ite
             "combo": np.r_[none, members[:, 0]], "masked": np.r_[none, members[:, 1]], "tree": np.r_[none, np.full(len(members), tree)],
             "fp": np.r_[none, members[:, 2]], "a": np.r_[a, members[:, 3]], "b": np.r_[b, members[:, 3]]})
 
-    def closed(rows: np.ndarray) -> list[tuple[int, int]]:
-        if len(rows) < 2:
-            return []
-        at = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1), True])
+    def whole(rows: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Complete runs: their links, or numbered trees where they are long."""
+        at = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1), True]) if len(rows) else np.zeros(0, np.int64)
         pairs = []
         for i in np.flatnonzero(np.diff(at) > 1):
             run = rows[at[i] : at[i + 1]]
-            ids = run[:, 3]
-            pairs += [(ids[x], ids[y]) for x, y in spanning_links(_unsigned(run[:, 2].copy()), radius)]
-        return pairs
+            if len(run) > tree_rows:
+                yield from pieces(run, 0)
+            else:
+                pairs += [(run[x, 3], run[y, 3]) for x, y in spanning_links(_unsigned(run[:, 2].copy()), radius)]
+        if pairs:
+            yield out(pairs)
+
+    def pieces(run: np.ndarray, first: int) -> Iterator[pd.DataFrame]:
+        for n, i in enumerate(range(0, len(run), tree_rows), start=first):
+            yield out([], run[i : i + tree_rows], n)
 
     for batch in batches:
         rows = np.r_[held, batch[columns].to_numpy(np.int64)]
-        while len(rows):
-            at = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
-            last = at[-1] if len(at) else 0  # the last run may go on in the next batch
-            if trees and len(at):  # the run that was cut ends here
-                yield out([], rows[: at[0]], trees)
-                rows, trees = rows[at[0] :], 0
-                continue
-            if pairs := closed(rows[:last]):
-                yield out(pairs)
-            rows = rows[last:]
-            while len(rows) > tree_rows:
-                yield out([], rows[:tree_rows], trees)
-                rows, trees = rows[tree_rows:], trees + 1
-            break
+        at = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+        last = at[-1] if len(at) else 0  # the last run may go on in the next batch
+        if trees and len(at):  # the run that was cut ends here
+            yield from pieces(rows[: at[0]], trees)
+            trees = 0
+            yield from whole(rows[at[0] : last])
+        else:
+            yield from whole(rows[:last])
+        rows = rows[last:]
+        full = (len(rows) - 1) // tree_rows  # what stays is never empty
+        if full > 0:
+            yield from pieces(rows[: full * tree_rows], trees)
+            rows, trees = rows[full * tree_rows :], trees + full
         held = rows
-    if trees:
-        yield out([], held, trees)
-    elif pairs := closed(held):
-        yield out(pairs)
+    yield from pieces(held, trees) if trees else whole(held)
 
 
 def _pair_of_trees(rows: pd.DataFrame, radius: int) -> pd.DataFrame:
