@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tracewell.llm import additive_model, bk_tree, chat, graph, lattice, perfect_hash, simhash
+from tracewell.llm import additive_model, bk_tree, chat, graph, lattice, perfect_hash, queries, simhash, token_files
 from tracewell.llm.common import words
 
 
@@ -159,3 +159,18 @@ def test_graph_finds_the_nearest(n):
 def test_words_follow_the_ascii_rules():
     assert words("A B\tÉc\x1cd\n") == ["a b".encode(), "Éc\x1cd".encode()]
     assert words(None) == words(" \n") == []
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return token_files.Encoder(queries.word_bpe(), "<u4")
+
+
+_BITS = ["the", "The", " ", "\n", "\t", "\u00a0", "\x1c", "it's", "'s", "'", "don't,", "end.", "***", "!!", "é", "e\u0301", "\u0301", "Σ", "ΑΣ", "İ", "漢字", "12", ",", "a1.", "<|endoftext|>", "<|", "_", "😀", "ñll,", "ß", "\u200b"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(_BITS), max_size=10).map("".join), max_size=4))
+def test_encoder_says_what_the_tokenizer_says(encoder, texts):
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder(texts) == want

@@ -21,6 +21,7 @@ document each; the index has them as one stretch. An empty table gives empty tab
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +40,8 @@ DOCS_PER_SHARD = 4096
 PAGE_TOKENS = 1 << 17
 KEYS_PER_BUCKET = 4096
 KNOWN_WORDS = 300_000
+#: Punctuation that may be parted from the letter before it (no apostrophe: it can begin a token with letters).
+TAIL = ".,;:!?*#$%&"
 
 PAGES = "shard int, page int, doc_ids array<bigint>, ends array<int>, ids binary"
 INDEX = "bucket bigint, n int, sizes array<int>, bits binary, prints binary, shard binary, offset binary, length binary, docs binary"
@@ -46,14 +49,20 @@ FOUND = "doc_id bigint, shard int, offset bigint, n_tokens bigint, n_docs bigint
 
 
 class Encoder:
-    """Encode texts with a tokenizer that drops white space, keeping what each stretch of text becomes."""
+    """Encode texts with a tokenizer that drops white space, keeping what each stretch of text becomes.
+
+    A stretch that ends in punctuation after a letter is two: the tokenizer parts letters from
+    punctuation, so their ids simply follow each other. What is kept is bounded: when the newer half
+    is full, the older half goes.
+    """
 
     _made: dict[tuple[str, str], "Encoder"] = {}
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), np.dtype(dtype), {"": b""}
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer, self.dtype, self.known, self.older = Tokenizer.from_file(path), dtype, {}, {}
 
     @classmethod
     def of(cls, path: str, dtype: str) -> "Encoder":
@@ -62,19 +71,35 @@ class Encoder:
             cls._made[path, dtype] = cls(path, dtype)
         return cls._made[path, dtype]
 
-    def __call__(self, text: str) -> bytes:
+    def _parted(self, stretch: str) -> tuple[str, str] | None:
+        stem = stretch.rstrip(TAIL)
+        last = stem[-1:].lower()  # of one letter (that with a dot above) the small form ends in a mark
+        if len(stem) == len(stretch) or not (len(last) == 1 and last.isalpha() and last < "\u0250"):
+            return None
+        return stem, stretch[len(stem) :]
+
+    def _encode_new(self, stretches: set[str]) -> None:
+        known, older = self.known, self.older
+        for x in stretches & older.keys():
+            known[x] = older[x]
+        parted = {x: self._parted(x) for x in stretches.difference(known)}
+        single = {y for x, parts in parted.items() for y in parts or (x,)}
+        single.difference_update(known)
+        single = list(single)
+        for x, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
+            known[x] = np.array(e.ids, self.dtype).tobytes()
+        for x, parts in parted.items():
+            if parts:
+                known[x] = known[parts[0]] + known[parts[1]]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > KNOWN_WORDS:
+            self.known, self.older = {}, self.known
+        lists = [t.replace("\n", " ").split(" ") for t in texts]
+        if new := set().union(*lists).difference(self.known):
+            self._encode_new(new)
         known = self.known
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > KNOWN_WORDS:
-                known.clear()
-                known[""] = b""
-            new = list({p for p in parts if p not in known})
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, self.dtype).tobytes()
-            return b"".join([known[p] for p in parts])
+        return [b"".join([known[x] for x in parts]) for parts in lists]
 
 
 def _vocabulary_size(path: str) -> int:
@@ -114,8 +139,8 @@ def _encoded(batches: Iterator[pd.DataFrame], path: str, end_id: int, dtype: str
     shard, page, width = TaskContext.get().partitionId(), 0, np.dtype(dtype).itemsize
     ids, ends, parts, total = [], [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-            parts.append(encode(text) + end)
+        for doc_id, encoded in zip(batch.doc_id, encode(batch.text.tolist()), strict=True):
+            parts.append(encoded + end)
             total += len(parts[-1]) // width
             ids.append(None if doc_id is None else int(doc_id))
             ends.append(total)
