@@ -40,7 +40,7 @@ DOCS_PER_SHARD = 4096
 PAGE_TOKENS = 1 << 17
 KEYS_PER_BUCKET = 4096
 KNOWN_WORDS = 300_000
-#: Punctuation that may be parted from the letter before it (no apostrophe: it can begin a token with letters).
+#: Punctuation that may be parted from the letters before it (no apostrophe: it can begin a group with letters).
 TAIL = ".,;:!?*#$%&"
 
 PAGES = "shard int, page int, doc_ids array<bigint>, ends array<int>, ids binary"
@@ -48,12 +48,20 @@ INDEX = "bucket bigint, n int, sizes array<int>, bits binary, prints binary, sha
 FOUND = "doc_id bigint, shard int, offset bigint, n_tokens bigint, n_docs bigint"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one from U+0100."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
+
+
 class Encoder:
     """Encode texts with a tokenizer that drops white space, keeping what each stretch of text becomes.
 
-    A stretch that ends in punctuation after a letter is two: the tokenizer parts letters from
-    punctuation, so their ids simply follow each other. What is kept is bounded: when the newer half
-    is full, the older half goes.
+    The tokenizer makes one token group of a run of letters and one of a run of punctuation. So a
+    stretch of plain Latin letters, with or without punctuation behind it, goes to the tokenizer's model
+    directly, in small letters; any other stretch goes through the whole tokenizer. What is kept is
+    bounded: when the newer half is full, the older half goes.
     """
 
     _made: dict[tuple[str, str], "Encoder"] = {}
@@ -62,7 +70,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.dtype, self.known, self.older = Tokenizer.from_file(path), dtype, {}, {}
+        self.tokenizer, self.dtype, self.known, self.older = Tokenizer.from_file(path), dtype, {"": b""}, {}
+        self.letters = _byte_letters()
 
     @classmethod
     def of(cls, path: str, dtype: str) -> "Encoder":
@@ -71,35 +80,46 @@ class Encoder:
             cls._made[path, dtype] = cls(path, dtype)
         return cls._made[path, dtype]
 
-    def _parted(self, stretch: str) -> tuple[str, str] | None:
-        stem = stretch.rstrip(TAIL)
-        last = stem[-1:].lower()  # of one letter (that with a dot above) the small form ends in a mark
-        if len(stem) == len(stretch) or not (len(last) == 1 and last.isalpha() and last < "\u0250"):
-            return None
-        return stem, stretch[len(stem) :]
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
 
     def _encode_new(self, stretches: set[str]) -> None:
-        known, older = self.known, self.older
-        for x in stretches & older.keys():
-            known[x] = older[x]
-        parted = {x: self._parted(x) for x in stretches.difference(known)}
-        single = {y for x, parts in parted.items() for y in parts or (x,)}
-        single.difference_update(known)
-        single = list(single)
-        for x, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, self.dtype).tobytes()
-        for x, parts in parted.items():
-            if parts:
-                known[x] = known[parts[0]] + known[parts[1]]
+        known, older, model, rest, tailed = self.known, self.older, self.tokenizer.model, [], []
+        for x in stretches:
+            if (ids := older.get(x)) is not None:
+                known[x] = ids
+                continue
+            stem = x.rstrip(TAIL)
+            low = stem.lower()
+            # Below U+0250 letters are composed, and only the capital I with a dot changes its length in small form.
+            if not (stem.isalpha() and len(low) == len(stem) and (stem.isascii() or max(stem) < "\u0250")):
+                rest.append(x)
+                continue
+            if (ids := known.get(low)) is None and (ids := older.get(low)) is None:
+                own = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+                ids = self._bytes([t.id for t in model.tokenize(own)])
+            known[low] = ids
+            if len(stem) < len(x):
+                tailed.append((x, ids, x[len(stem) :]))
+            else:
+                known[x] = ids
+        rest += {tail for _, _, tail in tailed}.difference(known)
+        for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[x] = self._bytes(e.ids)
+        for x, ids, tail in tailed:
+            known[x] = ids + known[tail]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > KNOWN_WORDS:
-            self.known, self.older = {}, self.known
+            self.known, self.older = {"": b""}, self.known
         lists = [t.replace("\n", " ").split(" ") for t in texts]
-        if new := set().union(*lists).difference(self.known):
-            self._encode_new(new)
+        found = [list(map(self.known.get, parts)) for parts in lists]
+        new = {x for parts, ids in zip(lists, found, strict=True) if None in ids for x, i in zip(parts, ids, strict=True) if i is None}
+        if not new:
+            return [b"".join(ids) for ids in found]
+        self._encode_new(new)
         known = self.known
-        return [b"".join([known[x] for x in parts]) for parts in lists]
+        return [b"".join([known[x] if i is None else i for x, i in zip(parts, ids, strict=True)]) for parts, ids in zip(lists, found, strict=True)]
 
 
 def _vocabulary_size(path: str) -> int:
