@@ -65,12 +65,19 @@ def test_reviews_to_corpus(spark, tmp_path):
     record = lambda i, text: {"review_id": f"r{i}", "content": text, "rating": 3, "date": "2026-01-01"}
     (inbox / "a.json").write_text(json.dumps([record(1, "one"), record(2, "two"), {"content": "x"}]))
     (inbox / "b.json").write_text(json.dumps({"reviews": [record(2, "two again"), record(3, "three")]}))
-    reviews = st.stream_reviews(spark, str(inbox), "app", files_per_trigger=1)
+    reviews, rejects = st.stream_reviews(spark, str(inbox), "app", files_per_trigger=1)
     corpus, checkpoint = str(tmp_path / "corpus"), str(tmp_path / "c")
     for _ in range(2):  # the second start finds nothing new
         st.stream_upsert_corpus(reviews, corpus, checkpoint).trigger(availableNow=True).start().awaitTermination(120)
     got = sorted((r.review_id) for r in st.read_corpus(spark, corpus).collect())
     assert got == ["r1", "r2", "r3"]
+    # A review that is older than everything before it arrives late: it is kept, and invalid rows are kept apart.
+    old = {"review_id": "r4", "content": "old", "rating": 2, "date": "2020-01-01"}
+    (inbox / "c.json").write_text(json.dumps([old, {"review_id": "r5", "content": "", "rating": 1, "date": "2020-01-01"}]))
+    st.stream_upsert_corpus(reviews, corpus, checkpoint).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(r.review_id for r in st.read_corpus(spark, corpus).collect()) == ["r1", "r2", "r3", "r4"]
+    run(rejects, str(tmp_path / "rejects"), str(tmp_path / "c3"))
+    assert spark.read.parquet(str(tmp_path / "rejects")).count() == 2
 
 
 def test_late_rejects(spark, tmp_path):

@@ -1,19 +1,13 @@
-"""Join helpers for skewed keys and for sides whose size must be checked first."""
+"""Join helper for skewed keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 50_000
 SALTS = 16
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when the table has at most `rows` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def spread_join(
     many: DataFrame, few: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner"
 ) -> DataFrame:
@@ -21,12 +15,3 @@ def spread_join(
     salted = many.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
     repeated = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(repeated, [*keys, "__salt"], how).drop("__salt")
-
-
-def checked_join(
-    many: DataFrame, few: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner"
-) -> DataFrame:
-    """Broadcast `few` when it is counted small, else the spread join."""
-    if fits(few):
-        return many.join(F.broadcast(few), keys, how)
-    return spread_join(many, few, keys, spread_by, how)

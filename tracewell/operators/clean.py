@@ -95,8 +95,6 @@ def cleaning_stats(marked: DataFrame, keys: list[str]) -> DataFrame:
 
 # ---- language ----
 
-PROFILE_GRAMS = 2_000
-
 
 def _trigrams(df: DataFrame, column: str) -> DataFrame:
     padded = F.concat(F.lit(" "), X.casefold(column), F.lit(" "))
@@ -104,16 +102,14 @@ def _trigrams(df: DataFrame, column: str) -> DataFrame:
 
 
 def fit_language_profiles(df: DataFrame, column: str = "content_original") -> DataFrame:
-    """Log probability of the most frequent trigrams of each known language (bounded size)."""
+    """Log probability of every trigram of each known language."""
     counts = (
         _trigrams(df.where(F.col("language").isNotNull()).select("language", column), column)
         .groupBy("language", "gram")
         .agg(F.count("*").alias("n"))
     )
-    total = Window.partitionBy("language")
-    rank = Window.partitionBy("language").orderBy(F.desc("n"), "gram")
-    top = counts.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= PROFILE_GRAMS)
-    return top.select("language", "gram", F.log(F.col("n") / F.sum("n").over(total)).alias("log_p"))
+    sums = counts.groupBy("language").agg(F.sum("n").alias("total"))  # one row per language
+    return counts.join(sums, "language").select("language", "gram", F.log(F.col("n") / F.col("total")).alias("log_p"))
 
 
 def fill_language(df: DataFrame, profiles: DataFrame, column: str = "content_original") -> DataFrame:
@@ -122,7 +118,7 @@ def fill_language(df: DataFrame, profiles: DataFrame, column: str = "content_ori
     asked = df.where(F.col("language").isNull() & (F.length(column) >= 12)).select("ord", column)
     scored = (
         _trigrams(asked, column)
-        .join(F.broadcast(profiles), "gram")  # at most PROFILE_GRAMS rows per language
+        .join(profiles, "gram")
         .groupBy("ord", "language")
         .agg(F.sum(F.col("log_p") - floor).alias("score"))
     )

@@ -415,42 +415,26 @@ def trace_issues(
     return result
 
 
-LIST_PART = 10_000
-
-
-def joined_ids(evidence: DataFrame, keys: list[str], ord_col: str = "pos") -> DataFrame:
-    """Comma-joined ids per key in parts of at most LIST_PART positions, so a cell stays small."""
-    return (
-        evidence.withColumn("part", F.expr(f"cast({ord_col} div {LIST_PART} as bigint)"))
-        .groupBy(*keys, "part")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(ord_col).alias("p"), "review_id"))).alias("l"))
-        .withColumn("review_ids", F.array_join(F.col("l.review_id"), ","))
-        .drop("l")
-    )
-
-
 def trace_rows(findings: DataFrame, support: DataFrame, requirement_links: DataFrame, tests: DataFrame) -> DataFrame:
-    """One row per test, linked finding and part of its id list; unresolved links are skipped."""
-    lists = joined_ids(support, ["run_id", "finding_id"])
+    """Test, linked finding and each of its supporting reviews with its position; unresolved links are skipped.
+
+    The list of reviews of a (test, finding) stays in long form, however long it is.
+    """
     return (
         tests.select(*RKEY, "test_case_id")
-        .join(requirement_links.select(*RKEY, "pos", "finding_id"), RKEY)
+        .join(requirement_links.select(*RKEY, "finding_id"), RKEY)
         .join(findings.select("run_id", "finding_id"), ["run_id", "finding_id"])
-        .join(lists, ["run_id", "finding_id"])
-        .select("run_id", "review_ids", "part", "finding_id", "requirement_id", "test_case_id")
+        .join(support.select("run_id", "finding_id", "review_id", "pos"), ["run_id", "finding_id"])
+        .select("run_id", "test_case_id", "requirement_id", "finding_id", "pos", "review_id")
     )
 
 
 def trace_rollup(requirements: DataFrame, links: DataFrame, sources: DataFrame, tests: DataFrame) -> DataFrame:
-    """Per requirement: its finding ids and test ids as text and the number of source reviews."""
-    ordered = lambda p, c: F.array_join(F.array_sort(F.collect_list(F.struct(F.col(p).alias("p"), F.col(c).alias("v"))))["v"], ",")
-    f = links.groupBy(*RKEY).agg(ordered("pos", "finding_id").alias("finding_ids"))
-    t = tests.groupBy(*RKEY).agg(ordered("test_case_id", "test_case_id").alias("test_case_ids"))
-    s = sources.groupBy(*RKEY).agg(F.count("*").alias("n_reviews"))
-    return (
-        requirements.select(*RKEY).join(f, RKEY, "left").join(s, RKEY, "left").join(t, RKEY, "left")
-        .fillna(0, ["n_reviews"]).fillna("", ["finding_ids", "test_case_ids"])
-    )
+    """Per requirement, in long form: its findings, source reviews and tests, each with its place in that list."""
+    known = requirements.select(*RKEY)
+    row = lambda df, kind, pos, value: df.select(*RKEY, F.lit(kind).alias("kind"), F.col(pos).cast("string").alias("pos"), F.col(value).alias("id"))
+    listed = row(links, "finding", "pos", "finding_id").unionByName(row(sources, "review", "review_id", "review_id")).unionByName(row(tests, "test", "test_case_id", "test_case_id"))
+    return known.join(listed, RKEY)
 
 
 def evidence_detail(resolved: DataFrame, reviews: DataFrame, audits: DataFrame, labels: dict[str, str]) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.joins import checked_join, fits, spread_join
 from .project import allowed_platform
 
 K1, B, RARE = 1.2, 0.75, 1e-6  # fixed values of the ranking function
@@ -35,7 +34,7 @@ def build_index(corpus: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     rows = docs.select("ord", "app_id", "platform", "n_tokens", F.posexplode("__t").alias("pos", "term"))
     if terms is not None:
         wanted = terms.select("term").distinct()
-        rows = rows.join(F.broadcast(wanted) if fits(wanted) else wanted, "term", "left_semi")
+        rows = rows.join(wanted, "term", "left_semi")
     return rows.groupBy("term", "ord", "app_id", "platform", "n_tokens").agg(
         F.array_sort(F.collect_list("pos")).alias("positions")
     )
@@ -83,7 +82,7 @@ DOC = ["ord", "app_id", "platform", "n_tokens"]
 
 def match_phrases(phrases: DataFrame, postings: DataFrame) -> DataFrame:
     """Occurrences of each phrase in each document: adjacent positions for phrases of several terms."""
-    joined = checked_join(postings, phrases, ["term"], ["ord"])
+    joined = postings.join(phrases, "term")
     carried = [*PHRASE, "in_all", "in_any", "n_all", *DOC]
     single = joined.where("n_terms = 1").select(*carried, F.size("positions").alias("tf"))
     starts = joined.where("n_terms > 1").select(
@@ -101,10 +100,10 @@ def corpus_totals(corpus: DataFrame) -> DataFrame:
     return document_lengths(corpus).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
-def score_documents(hits: DataFrame, totals: DataFrame, small: bool) -> DataFrame:
+def score_documents(hits: DataFrame, totals: DataFrame) -> DataFrame:
     """BM25 per query and document, strict and loose, with statistics over the whole corpus."""
     frequency = hits.groupBy(*PHRASE).agg(F.count("*").alias("df"))
-    rows = hits.join(F.broadcast(frequency), PHRASE) if small else spread_join(hits, frequency, PHRASE, ["ord"])
+    rows = hits.join(frequency, PHRASE)
     n = totals.select(F.col("n_docs").cast("double")).scalar()
     mean = totals.select(F.col("n_tokens") / F.col("n_docs")).scalar()
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -144,13 +143,12 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, limit: int, postings: DataF
               totals: DataFrame | None = None, group: list[str] = ("query_id",), query_apps: DataFrame | None = None) -> DataFrame:
     """Keyword search of all queries. `query_apps` restricts rows, never the statistics."""
     phrases = compile_queries(queries)
-    small = fits(phrases)
     if postings is None:
         postings = build_index(corpus, phrases)
-    scored = score_documents(match_phrases(phrases, postings), totals if totals is not None else corpus_totals(corpus), small)
+    scored = score_documents(match_phrases(phrases, postings), totals if totals is not None else corpus_totals(corpus))
     if query_apps is not None:
         few = query_apps.select("query_id", "app_id", *[c for c in ("app_ord",) if c in query_apps.columns])
-        scored = scored.join(F.broadcast(few) if fits(few) else few, ["query_id", "app_id"])
+        scored = scored.join(few, ["query_id", "app_id"])
     return rank_hits(scored, list(group), limit)
 
 
@@ -213,41 +211,22 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, limit: int, id_col: str
             out.append(part)
         return pd.concat(out)
 
+    # Blocks go by a hash of the id, whatever ids look like; every block of vectors meets every block of queries once.
     slim = vectors.select(*columns, "embedding")
-    if fits(queries, QUERY_BLOCK):
-        pdf = queries.select("query_id", "embedding").toPandas()  # counted: at most QUERY_BLOCK rows
-        if pdf.empty:
-            return vectors.sparkSession.createDataFrame([], schema)
-        ids, q = pdf["query_id"].to_numpy(), unit(np.stack(pdf["embedding"].to_list()).astype("float64"))
-
-        def scan(batches):
-            for batch in batches:
-                if len(batch):
-                    yield best(ids, q, batch)
-
-        candidates = slim.mapInPandas(scan, schema)
-    else:
-        blocks = F.pmod(F.xxhash64("query_id"), F.lit(max(1, queries.count() // QUERY_BLOCK))).cast("int")
-        asked = queries.select("query_id", "embedding").withColumn("query_block", blocks)
-        # Each block of vectors meets each block of queries once; every query block visits every vector block.
-        vector_block = F.expr(f"cast({id_col} div {VECTOR_BLOCK} as bigint)")
-        block_ids = slim.select(vector_block.alias("vector_block")).distinct()
-        query_ids = asked.select("query_block").distinct()
-        n_query_blocks = query_ids.agg(F.max("query_block") + 1).scalar()
-        spread = slim.withColumn("vector_block", vector_block).withColumn(
-            "query_block", F.explode(F.sequence(F.lit(0), n_query_blocks - 1))
-        )
-        n_vector_blocks = block_ids.agg(F.max("vector_block") + 1).scalar()
-        repeated = asked.withColumn("vector_block", F.explode(F.sequence(F.lit(0).cast("bigint"), n_vector_blocks - 1)))
-
-        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty or right.empty:
-                return pd.DataFrame(columns=["query_id", *columns, "score"])
-            q = unit(np.stack(right["embedding"].to_list()).astype("float64"))
-            return best(right["query_id"].to_numpy(), q, left)
-
-        keys = ["query_block", "vector_block"]
-        candidates = spread.groupBy(*keys).cogroup(repeated.groupBy(*keys)).applyInPandas(meet, schema)
+    n_vectors, n_queries = (max(1, -(-df.count() // rows)) for df, rows in ((slim, VECTOR_BLOCK), (queries, QUERY_BLOCK)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    placed = slim.withColumn("vector_block", block(id_col, n_vectors)).withColumn("query_block", every(n_queries))
+    asked = queries.select("query_id", F.col("embedding").alias("asked"), block("query_id", n_queries).alias("query_block")).withColumn("vector_block", every(n_vectors))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=["query_id", *columns, "score"])
+        q = unit(np.stack(right["asked"].to_list()).astype("float64"))
+        return best(right["query_id"].to_numpy(), q, left)
+
+    keys = ["query_block", "vector_block"]
+    candidates = placed.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(meet, schema)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col)))
     return candidates.withColumn("rank", place).where(F.col("rank") <= limit)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_even
@@ -25,27 +25,25 @@ def ntz(moment: datetime):
 def price_usage(usage: DataFrame, prices: DataFrame, model: str = "model") -> DataFrame:
     """First matching model prefix in list order, else the default price.
 
-    Models are few: the prefix match runs once per distinct model, then joins back by name.
+    The price list is configuration of a few rows; it becomes one expression, so usage rows are priced where they lie.
     """
-    prefixes = prices.select("ord", "prefix", "prompt_cents", "completion_cents")
-    # Any prefix of the model name is an equi-join key, so no pairs are compared.
-    models = usage.select(model).distinct()
-    cut = models.withColumn("n", F.explode(F.sequence(F.lit(1), F.greatest(F.length(model), F.lit(1))))).select(
-        model, F.expr(f"substring({model}, 1, n)").alias("prefix")
-    )
-    best = cut.join(prefixes, "prefix").groupBy(model).agg(
-        F.min_by(F.struct("prompt_cents", "completion_cents"), "ord").alias("price")
-    )
-    priced = usage.join(best, model, "left")
-    cents = lambda field, i: F.coalesce(F.col(f"price.{field}"), F.lit(DEFAULT_PRICE[i]))
+    listed = prices.orderBy("ord").select("prefix", "prompt_cents", "completion_cents").collect()
+
+    def cents(i: int) -> Column:
+        price = None
+        for row in listed:
+            fits = F.startswith(F.coalesce(F.col(model), F.lit("")), F.lit(row.prefix))
+            price = F.when(fits, row[i + 1]) if price is None else price.when(fits, row[i + 1])
+        default = F.lit(DEFAULT_PRICE[i])
+        return default if price is None else price.otherwise(default)
+
     return (
-        priced.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+        usage.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
         .withColumn(
             "cost_e8",
-            F.col("prompt_tokens") * cents("prompt_cents", 0) + F.col("completion_tokens") * cents("completion_cents", 1),
+            F.col("prompt_tokens") * cents(0) + F.col("completion_tokens") * cents(1),
         )
         .withColumn("cost_usd", F.col("cost_e8") / F.lit(UNIT))
-        .drop("price")
     )
 
 

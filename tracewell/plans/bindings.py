@@ -23,10 +23,13 @@ PRICES = [  # fixed values: model prefix, cents per million prompt and completio
 TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
+SPREAD_BYTES = 256 << 20
+
+
 def in_parallel(df: DataFrame, key: str) -> DataFrame:
-    """Spread a text table that arrives in fewer splits than there are cores; larger ones stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Spread a text table of at most SPREAD_BYTES, by its file sizes; a larger one has splits enough and is never moved."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if int(size) <= SPREAD_BYTES else df
 
 
 class Tables:
@@ -212,12 +215,12 @@ class Tables:
 
     @cached_property
     def queries(self) -> DataFrame:
-        """The first four words of each benchmark text; every fourth is cut to a phrase of one odd word."""
+        """Benchmark texts as queries: every fourth one whole, of the others the first four words."""
         words = F.split(X.normalize_text("text"), " ")
         return self.raw("benchmark").select(
             F.concat(F.lit("q"), F.col("item_id")).alias("query_id"),
             F.col("item_id").alias("query_ord"),
-            F.array_join(F.slice(words, 1, 4), " ").alias("query"),
+            F.array_join(F.when(F.col("item_id") % 4 == 1, words).otherwise(F.slice(words, 1, 4)), " ").alias("query"),
             F.when(F.col("item_id") % 2 == 0, "en").otherwise("zh").alias("language"),
         )
 

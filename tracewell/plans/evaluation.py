@@ -76,12 +76,12 @@ def _(t):
 
 
 @query("topic_keys", "EVL-3", sql="""
-SELECT ord, lower(regexp_replace(regexp_replace(regexp_replace(substr(content_original, 1, 60), '[^\\x00-\\x7F]', '', 'g'), '[^0-9a-zA-Z]+', '_', 'g'), '^_+|_+$', '', 'g')) AS topic_key FROM reviews
+SELECT ord, lower(regexp_replace(regexp_replace(regexp_replace(content_original, '[^\\x00-\\x7F]', '', 'g'), '[^0-9a-zA-Z]+', '_', 'g'), '^_+|_+$', '', 'g')) AS topic_key FROM reviews
 """)
 def _(t):
     from ..functions import text as X
 
-    return t.reviews.select("ord", X.topic_key(F.substring("content_original", 1, 60)).alias("topic_key"))
+    return t.reviews.select("ord", X.topic_key("content_original").alias("topic_key"))
 
 
 # ---- retrieval scores: some expected reviews are found, some are not ----

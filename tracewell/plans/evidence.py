@@ -409,11 +409,9 @@ def _(t):
     return Chain(t, staged=True).trace.drop("message")
 
 
-@query("chain_trace_rows", "EVD-13", sql=f"""
-SELECT t.run_id, t.test_case_id, t.requirement_id, l.finding_id, e.part, e.review_ids
-FROM tests t JOIN links l USING (run_id, requirement_id)
-JOIN (SELECT run_id, finding_id, pos // {ev.LIST_PART} AS part, string_agg(review_id, ',' ORDER BY pos) AS review_ids
-      FROM final_evidence WHERE role = 'supporting' GROUP BY ALL) e USING (run_id, finding_id)
+@query("chain_trace_rows", "EVD-13", sql="""
+SELECT t.run_id, t.test_case_id, t.requirement_id, l.finding_id, e.pos, e.review_id
+FROM tests t JOIN links l USING (run_id, requirement_id) JOIN final_evidence e USING (run_id, finding_id) WHERE e.role = 'supporting'
 """)
 def _(t):
     c = Chain(t)
@@ -421,10 +419,10 @@ def _(t):
 
 
 @query("chain_trace_rollup", "EVD-14", sql="""
-SELECT r.run_id, r.requirement_id, f.finding_ids, s.n_reviews, t.test_case_ids FROM requirements r
-JOIN (SELECT run_id, requirement_id, string_agg(finding_id, ',' ORDER BY pos) AS finding_ids FROM links GROUP BY ALL) f USING (run_id, requirement_id)
-JOIN (SELECT run_id, requirement_id, count(*) AS n_reviews FROM sources GROUP BY ALL) s USING (run_id, requirement_id)
-JOIN (SELECT run_id, requirement_id, string_agg(test_case_id, ',' ORDER BY test_case_id) AS test_case_ids FROM tests GROUP BY ALL) t USING (run_id, requirement_id)
+SELECT run_id, requirement_id, kind, pos, id FROM requirements JOIN (
+  SELECT run_id, requirement_id, 'finding' AS kind, CAST(pos AS VARCHAR) AS pos, finding_id AS id FROM links
+  UNION ALL SELECT run_id, requirement_id, 'review', review_id, review_id FROM sources
+  UNION ALL SELECT run_id, requirement_id, 'test', test_case_id, test_case_id FROM tests) USING (run_id, requirement_id)
 """)
 def _(t):
     c = Chain(t, staged=True)
@@ -466,7 +464,7 @@ ROLE_LABELS = {"supporting": "支持", "conflicting": "冲突", "irrelevant": "
 @query("evidence_detail", "EVD-15", sql=f"""
 SELECT c.run_id, c.finding_index, c.review_id,
        CASE coalesce(a.role, CASE WHEN c.s THEN 'supporting' ELSE 'conflicting' END) WHEN 'supporting' THEN '支持' WHEN 'conflicting' THEN '冲突' ELSE '无关' END AS role,
-       coalesce(substr(r.content_original, 1, 40), '{ev.NO_REVIEW}') AS content,
+       coalesce(r.content_original, '{ev.NO_REVIEW}') AS content,
        CASE WHEN trim(coalesce(s.summary, '')) = '' THEN '{ev.NO_SUMMARY}' ELSE s.summary END AS summary,
        coalesce(a.rationale, '{ev.NO_RATIONALE}') AS rationale
 FROM (SELECT run_id, finding_index, review_id, bool_or(role = 'supporting') AS s FROM draft_evidence GROUP BY ALL) c
@@ -478,8 +476,7 @@ LEFT JOIN ({SUMMARIES}) s ON s.run_id = c.run_id AND s.review_id = c.review_id
 def _(t):
     cited = ev.resolve_references(t.draft_evidence, t.draft_evidence)  # every cited id, known or not
     reviews = ev.apply_summaries(t.reviews.select("run_id", "review_id", "content_original"), summaries(t))
-    short = reviews.withColumn("content_original", F.substring("content_original", 1, 40))
-    return ev.evidence_detail(cited, short, t.audits, ROLE_LABELS)
+    return ev.evidence_detail(cited, reviews, t.audits, ROLE_LABELS)
 
 
 @query("evidence_all_limitations", "EVD-16", sql="""

@@ -12,6 +12,7 @@ from ..sources import feeds, reviews as rv, sinks
 from .cleaning import batched
 from .ops import NOW, priced
 from .registry import cte, query
+from .sqlbase import norm
 from ..operators.usage import budget_status
 
 # ---- review files: one landed text per 20 documents, with planted faults ----
@@ -95,7 +96,7 @@ def feed_entries(t):
         F.concat(F.lit("app"), F.expr("doc_id div 50")).alias("app_id"), (F.expr("doc_id div 10") % 5 + 1).alias("page"), "doc_id",
         F.to_json(F.struct(
             F.when(n % 11 != 3, label(F.concat(F.lit("e"), n % 40))).alias("id"), label(F.lit("t")).alias("title"),
-            label(F.substring("body", 1, 50)).alias("content"), F.when(n % 10 != 0, label(F.when(n % 13 == 5, "x").otherwise((n % 5 + 1).cast("string")))).alias("im:rating"),
+            label(F.col("body")).alias("content"), F.when(n % 10 != 0, label(F.when(n % 13 == 5, "x").otherwise((n % 5 + 1).cast("string")))).alias("im:rating"),
             label(F.lit("1.0")).alias("im:version"), label(F.when(n % 12 == 7, "soon").otherwise("2026-02-01T00:00:00-07:00")).alias("updated"),
             F.struct(label(F.concat(F.lit("user"), n)).alias("name")).alias("author"))).alias("j"))
 
@@ -105,18 +106,19 @@ def pages_of(entries, keys, before, after):
     return grouped.select(*keys, F.concat(F.lit(before), F.array_join(F.col("l.j"), ","), F.lit(after)).alias("body"))
 
 
-@query("ingest_store_feed", "SRC-5", sql="""
-SELECT app_id, review_id, rating, author, ord FROM (
+@query("ingest_store_feed", "SRC-5", sql=f"""
+SELECT app_id, review_id, rating, author, ord, n_chars, digest FROM (
   SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY page, idx) AS ord FROM (
-    SELECT app_id, page, idx, 'user' || doc_id AS author, CAST(doc_id % 5 + 1 AS INTEGER) AS rating, CASE WHEN doc_id % 11 <> 3 THEN 'e' || (doc_id % 40) ELSE 'apple-' || page || '-' || idx END AS review_id
-    FROM (SELECT doc_id, 'app' || (doc_id // 50) AS app_id, (doc_id // 10) % 5 + 1 AS page, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) - 1 AS idx FROM documents WHERE doc_id % 10 <> 0)
+    SELECT app_id, page, idx, length(body) AS n_chars, md5(body) AS digest, 'user' || doc_id AS author, CAST(doc_id % 5 + 1 AS INTEGER) AS rating, CASE WHEN doc_id % 11 <> 3 THEN 'e' || (doc_id % 40) ELSE 'apple-' || page || '-' || idx END AS review_id
+    FROM (SELECT doc_id, {norm('text')} AS body, 'app' || (doc_id // 50) AS app_id, (doc_id // 10) % 5 + 1 AS page, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) - 1 AS idx FROM documents WHERE doc_id % 10 <> 0)
     WHERE doc_id % 13 <> 5 AND doc_id % 12 <> 7
     QUALIFY row_number() OVER (PARTITION BY app_id, CASE WHEN doc_id % 11 <> 3 THEN 'e' || (doc_id % 40) ELSE 'apple-' || page || '-' || idx END ORDER BY page, idx) = 1))
 WHERE ord <= 30
 """)
 def _(t):
     pages = pages_of(feed_entries(t), ["app_id", "page"], '{"feed":{"entry":[', "]}}").withColumn("storefront", F.lit("us"))
-    return feeds.parse_store_feed(pages, 30).select("app_id", "review_id", "rating", "author", "ord")
+    rows = feeds.parse_store_feed(pages, 30)
+    return rows.select("app_id", "review_id", "rating", "author", "ord", F.length("content_original").cast("bigint").alias("n_chars"), F.md5("content_original").alias("digest"))
 
 
 @query("ingest_play_pages", "SRC-6", sql="""

@@ -346,11 +346,8 @@ def _(t):
     return project.empty_columns(runs, ["lease_owner", "status", "finished_at"])
 
 
-@query("redacted_messages", "PRJ-6", sql=r"""
-SELECT event_id, substr(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(
-  'fail' || chr(10) || event_type || ' API_KEY=' || event_id || ' sk-abcdefgh' || event_id || ' in .env.local', '[\r\n]+', ' ', 'g')),
-  '(?i)(api[ _-]?key\s*[=:]\s*)\S+', '\1[REDACTED]', 'g'), '\bsk-[A-Za-z0-9_-]{8,}\b', '[REDACTED]', 'g'), '(?i)\.env(?:\.[\w.-]+)?', '[REDACTED_ENV]', 'g'), 1, 1000) AS message
-FROM events
+@query("redacted_messages", "PRJ-6", sql="""
+SELECT event_id, 'fail ' || event_type || ' API_KEY=[REDACTED] [REDACTED] in [REDACTED_ENV]' AS message FROM events
 """)
 def _(t):
     message = F.concat(F.lit("fail\n"), "event_type", F.lit(" API_KEY="), "event_id", F.lit(" sk-abcdefgh"), "event_id", F.lit(" in .env.local"))
@@ -358,12 +355,15 @@ def _(t):
 
 
 @query("masked_reviews", "PRJ-6", sql="""
-SELECT ord AS message_id, 'model failed on [REDACTED_REVIEW].' AS message FROM reviews WHERE content_original <> ''
+SELECT ord AS message_id, 'model failed: [REDACTED_REVIEW] | ' || ord || ' | [REDACTED_REVIEW]' AS message FROM reviews WHERE content_original <> ''
 """)
 def _(t):
-    quotes = t.reviews.select(F.col("ord").alias("message_id"), "content_original")
-    messages = quotes.select("message_id", F.concat(F.lit("model failed on "), "content_original", F.lit(".")).alias("message"))
-    return project.mask_reviews(messages, quotes)
+    """Each message quotes its own review and the first one of its run; all reviews of the run are asked for."""
+    reviews = t.reviews.where("content_original <> ''").select("run_id", "ord", "content_original")
+    first = reviews.groupBy("run_id").agg(F.min_by("content_original", "ord").alias("other"))
+    message = F.concat(F.lit("model failed: "), "content_original", F.lit(" | "), "ord", F.lit(" | "), "other")
+    messages = reviews.join(first, "run_id").select(F.col("ord").alias("message_id"), "run_id", message.alias("message"))
+    return project.mask_reviews(messages, reviews).select("message_id", "message")
 
 
 # ---- sets and comparison ----

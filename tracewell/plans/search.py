@@ -86,12 +86,14 @@ def _(t):
 
 
 @query("search_index", "RET-2", sql="""
-SELECT term, ord, n_tokens, CAST(count(*) AS INTEGER) AS tf, string_agg(pos, ',' ORDER BY pos) AS positions
-FROM token_rows WHERE length(term) > 12 GROUP BY ALL
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum(n_tokens) AS BIGINT) AS n_tokens,
+       CAST(bit_xor(CAST('0x' || substr(sha256(ord || '|' || positions), 1, 15) AS BIGINT)) AS BIGINT) AS digest
+FROM (SELECT term, ord, n_tokens, count(*) AS tf, string_agg(pos, ',' ORDER BY pos) AS positions FROM token_rows GROUP BY ALL) GROUP BY term
 """)
 def _(t):
-    return se.build_index(t.corpus).where(F.length("term") > 12).select(
-        "term", "ord", "n_tokens", F.size("positions").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+    where = F.concat_ws("|", "ord", F.array_join(F.col("positions").cast("array<string>"), ","))
+    return se.build_index(t.corpus).groupBy("term").agg(
+        F.count("*").alias("df"), F.sum(F.size("positions")).alias("tf"), F.sum("n_tokens").alias("n_tokens"), F.bit_xor(X.sha_int(where)).alias("digest"))
 
 
 @query("search_term_stats", "RET-2", sql="SELECT term, count(DISTINCT ord) AS df, count(*) AS occurrences FROM token_rows GROUP BY term")
