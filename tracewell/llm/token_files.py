@@ -234,6 +234,7 @@ def _looked_up(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Every stored document, read from the files: doc_id, shard, offset, start, n_tokens, ids_crc32."""
     dtype = spark.read.parquet(f"{path}/format").head()[0]
+    arrow_rows(spark, 32)  # a row is a page of many documents
     rows = _documents(spark.read.parquet(f"{path}/pages"), dtype)
     shards = spark.read.parquet(f"{path}/shards").select("shard", "base")
     return rows.join(shards, "shard").withColumn("start", F.col("base") + F.col("offset")).drop("base")
@@ -246,5 +247,4 @@ def by_key(keys: DataFrame, path: str) -> DataFrame:
     stored = documents(spark, path)
     behind = (F.col("shard") > F.col("__shard")) | ((F.col("shard") == F.col("__shard")) & (F.col("offset") >= F.col("__offset")))
     keyed = stored.join(found, (F.col("doc_id") == F.col("__k")) & behind).drop("__k", "__shard", "__offset")
-    wanted = keys.where("doc_id IS NULL").limit(1).select(F.lit(1).alias("__one"))
-    return keyed.unionByName(stored.where("doc_id IS NULL").join(wanted, F.lit(1) == F.col("__one"), "left_semi"))
+    return keyed.unionByName(stored.where("doc_id IS NULL")) if keys.where("doc_id IS NULL").head(1) else keyed
