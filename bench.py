@@ -14,7 +14,7 @@ HEADLINE = [
     "evidence_findings", "chain_requirements", "chain_trace_issues",
     "search_bm25", "search_many_apps", "search_vectors", "search_hybrid",
     "usage_rollup", "usage_stage_timing", "usage_budget_crossing", "prune_events_kept", "prune_runs_children",
-    "infer_cache_lookup", "ingest_valid_rows", "status_alerts", "alerts_fired", "clean_duplicates_resolved",
+    "infer_cache_lookup", "ingest_valid_rows", "status_alerts", "alerts_fired", "clean_duplicates_fuzzy",
 ]
 
 

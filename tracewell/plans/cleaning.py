@@ -166,11 +166,56 @@ def _(t):
     )
 
 
-@query("clean_duplicates_resolved", "CLN-4", "CLN-6")
+def duplicate_ctes(name: str, rows: str) -> None:
+    """The keep rule at threshold 100, where near means that one text contains the other: in order, a row stays unless a kept one conflicts."""
+    cte(f"{name}_texts", f"SELECT ord, review_id, rating, content_hash, folded, {comp('content')} AS comp FROM {rows}")
+    cte(f"{name}_pairs", f"""
+SELECT * FROM (
+  SELECT a.ord AS i, b.ord AS j, a.content_hash = b.content_hash OR (a.review_id = b.review_id AND a.folded = b.folded) AS exact,
+         CASE WHEN a.rating = b.rating AND a.comp <> '' AND b.comp <> '' AND least(length(a.comp), length(b.comp)) >= 0.8 * greatest(length(a.comp), length(b.comp))
+              THEN contains(a.comp, b.comp) OR contains(b.comp, a.comp) ELSE false END AS near
+  FROM {name}_texts a JOIN {name}_texts b ON a.ord < b.ord) WHERE exact OR near
+""")
+    cte(f"{name}_asked", f"""
+SELECT j, list(i) AS partners, bool_or(i NOT IN (SELECT j FROM {name}_pairs)) AS gone, row_number() OVER (ORDER BY j) AS n FROM {name}_pairs GROUP BY j
+""")
+    cte(f"{name}_walk", f"""
+SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept
+UNION ALL
+SELECT a.n, CASE WHEN a.gone OR list_has_any(a.partners, w.kept) THEN w.kept ELSE list_append(w.kept, a.j) END FROM {name}_walk w JOIN {name}_asked a ON a.n = w.n + 1
+""")
+    cte(f"{name}_kept", f"""
+SELECT ord FROM {name}_texts WHERE ord NOT IN (SELECT j FROM {name}_pairs)
+UNION ALL SELECT unnest(kept) FROM {name}_walk WHERE n = (SELECT max(n) FROM {name}_walk)
+""")
+    cte(f"{name}_reasons", f"""
+SELECT t.ord, CASE WHEN t.ord IN (SELECT ord FROM {name}_kept) THEN 'kept' WHEN coalesce(bool_or(p.exact), false) THEN 'exact' ELSE 'near' END AS reason, min(p.i) FILTER (p.near) AS i
+FROM {name}_texts t LEFT JOIN (SELECT * FROM {name}_pairs WHERE i IN (SELECT ord FROM {name}_kept)) p ON p.j = t.ord GROUP BY t.ord
+""")
+
+
+duplicate_ctes("dup", "clean_reviews")
+duplicate_ctes("dupid", "clean_shared")
+
+
+@query("clean_duplicates_resolved", "CLN-4", "CLN-6", sql="SELECT ord, reason, CASE WHEN reason = 'near' THEN i END AS match FROM dup_reasons")
 def _(t):
+    return neardup.resolve_duplicates(hashed(t.reviews), threshold=100)
+
+
+@query("clean_duplicates_fuzzy", "CLN-4", "CLN-6")
+def _(t):
+    """The same job at the usual threshold; SQL has no partial ratio."""
     return neardup.resolve_duplicates(hashed(t.reviews))
 
 
-@query("clean_stats_full", "CLN-6", "CLN-7", "CLN-9")
+@query("clean_stats_full", "CLN-6", "CLN-7", "CLN-9", sql="""
+SELECT s.run_id, count(*) AS input_count, count(*) FILTER (WHERE r.reason = 'kept') AS output_count, count(*) FILTER (WHERE r.reason = 'exact') AS exact_duplicates,
+       count(*) FILTER (WHERE r.reason = 'near') AS near_duplicates, count(*) FILTER (WHERE r.ord IS NULL) AS empty_removed,
+       count(*) FILTER (WHERE r.reason = 'kept' AND r.place > 1) AS review_id_collisions
+FROM shared_id_reviews s LEFT JOIN (
+  SELECT d.ord, d.reason, row_number() OVER (PARTITION BY t.review_id, d.reason ORDER BY d.ord) AS place FROM dupid_reasons d JOIN dupid_texts t USING (ord)
+) r USING (ord) GROUP BY s.run_id
+""")
 def _(t):
-    return clean.cleaning_stats(neardup.clean_reviews(t.shared_id_reviews), ["run_id"])
+    return clean.cleaning_stats(neardup.clean_reviews(t.shared_id_reviews, threshold=100), ["run_id"])

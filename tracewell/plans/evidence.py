@@ -343,13 +343,13 @@ cte("limitations", f"""
 SELECT run_id, finding_id, l.i AS rank, l.v AS limitation FROM (
   SELECT run_id, finding_id, unnest([
     {{'i': 0, 'v': 'small sample'}},
-    CASE WHEN invalid_ids > 0 THEN {{'i': 1, 'v': '{ev.LIMIT_INVALID}'}} END,
-    CASE WHEN run_id = 'src3' AND finding_index = 0 THEN {{'i': 2, 'v': '{ev.LIMIT_NO_AUDIT}'}} ELSE {{'i': 2, 'v': 'audited from text only'}} END,
-    CASE WHEN unknown_ids > 0 THEN {{'i': 3, 'v': '{ev.LIMIT_UNKNOWN}'}} END,
-    CASE WHEN missing_ids > 0 THEN {{'i': 4, 'v': '{ev.LIMIT_MISSING}'}} END,
-    CASE WHEN irrelevant > 0 THEN {{'i': 5, 'v': printf('{ev.LIMIT_IRRELEVANT}', irrelevant)}} END,
-    CASE WHEN support_count < minimum_support THEN {{'i': 6, 'v': printf('{ev.LIMIT_SUPPORT}', minimum_support)}} END,
-    CASE WHEN conflict_count > 0 THEN {{'i': 7, 'v': printf('{ev.LIMIT_CONFLICT}', conflict_count)}} END
+    CASE WHEN invalid_ids > 0 THEN {{'i': 1, 'v': '模型引用了不存在的评论 ID，已由系统删除。'}} END,
+    CASE WHEN run_id = 'src3' AND finding_index = 0 THEN {{'i': 2, 'v': '该 Finding 缺少证据语义复核结果。'}} ELSE {{'i': 2, 'v': 'audited from text only'}} END,
+    CASE WHEN unknown_ids > 0 THEN {{'i': 3, 'v': '证据语义复核包含未知引用，已由系统删除。'}} END,
+    CASE WHEN missing_ids > 0 THEN {{'i': 4, 'v': '部分引用缺少语义复核，未计入有效证据。'}} END,
+    CASE WHEN irrelevant > 0 THEN {{'i': 5, 'v': printf('语义复核移除了 %d 条无关评论。', irrelevant)}} END,
+    CASE WHEN support_count < minimum_support THEN {{'i': 6, 'v': printf('支持证据少于当前样本要求的 %d 条，按假设展示。', minimum_support)}} END,
+    CASE WHEN conflict_count > 0 THEN {{'i': 7, 'v': printf('存在 %d 条冲突评论。', conflict_count)}} END
   ]) AS l FROM findings) WHERE l IS NOT NULL
 """)
 
@@ -392,7 +392,7 @@ def _(t):
 
 
 @query("chain_quantity_notice", "EVD-10", sql=f"""
-SELECT a.run_id, count(r.requirement_id) AS n_requirements, CASE WHEN count(r.requirement_id) < 5 THEN '{ev.FEW_REQUIREMENTS}' END AS notice
+SELECT a.run_id, count(r.requirement_id) AS n_requirements, CASE WHEN count(r.requirement_id) < 5 THEN '可验证证据不足，因此本次输出少于 5 个核心需求。' END AS notice
 FROM analysis_runs a LEFT JOIN (SELECT * FROM requirements WHERE draft_no % 3 = 0) r USING (run_id) GROUP BY a.run_id
 """)
 def _(t):
@@ -464,9 +464,9 @@ ROLE_LABELS = {"supporting": "支持", "conflicting": "冲突", "irrelevant": "
 @query("evidence_detail", "EVD-15", sql=f"""
 SELECT c.run_id, c.finding_index, c.review_id,
        CASE coalesce(a.role, CASE WHEN c.s THEN 'supporting' ELSE 'conflicting' END) WHEN 'supporting' THEN '支持' WHEN 'conflicting' THEN '冲突' ELSE '无关' END AS role,
-       coalesce(r.content_original, '{ev.NO_REVIEW}') AS content,
-       CASE WHEN trim(coalesce(s.summary, '')) = '' THEN '{ev.NO_SUMMARY}' ELSE s.summary END AS summary,
-       coalesce(a.rationale, '{ev.NO_RATIONALE}') AS rationale
+       coalesce(r.content_original, '未找到原评论（引用存在性校验未通过）。') AS content,
+       CASE WHEN trim(coalesce(s.summary, '')) = '' THEN '待生成' ELSE s.summary END AS summary,
+       coalesce(a.rationale, '尚未完成证据语义复核。') AS rationale
 FROM (SELECT run_id, finding_index, review_id, bool_or(role = 'supporting') AS s FROM draft_evidence GROUP BY ALL) c
 LEFT JOIN (SELECT run_id, finding_index, review_id, arg_max(role, pos) AS role, arg_max(rationale, pos) AS rationale FROM audits GROUP BY ALL) a
   USING (run_id, finding_index, review_id)

@@ -264,11 +264,21 @@ def _(t):
     return rt.maintenance(t.run_events, t.reports, t.ops_runs, cache, NOW, keep_reports=5, days=900)
 
 
-@query("report_summary", "WIN-11")
+@query("report_summary", "WIN-11", sql="""
+SELECT a.run_id, coalesce(f.n, 0) AS n_findings, coalesce(r.n, 0) AS n_requirements, coalesce(t.n, 0) AS n_tests, coalesce(u.tokens, 0) AS tokens,
+       printf('「goal %s」分析完成：发现 %d 条、需求 %d 条、测试用例 %d 条。模型成本 $%d.%04d（%d tokens）。数据状态：%s。',
+              a.run_id, coalesce(f.n, 0), coalesce(r.n, 0), coalesce(t.n, 0), coalesce(u.e4, 0) // 10000, coalesce(u.e4, 0) % 10000, coalesce(u.tokens, 0),
+              CASE WHEN a.status = 'completed' THEN '有效' ELSE a.status END) AS summary
+FROM analysis_runs a
+LEFT JOIN (SELECT run_id, count(*) AS n FROM findings GROUP BY run_id) f USING (run_id)
+LEFT JOIN (SELECT run_id, count(*) AS n FROM requirements GROUP BY run_id) r USING (run_id)
+LEFT JOIN (SELECT run_id, count(*) AS n FROM tests GROUP BY run_id) t USING (run_id)
+LEFT JOIN (SELECT 'src' || (run_id % 20) AS run_id, CAST(sum(total_tokens) AS BIGINT) AS tokens, CAST((sum(cost_e8) + 5000) // 10000 AS BIGINT) AS e4 FROM priced_usage GROUP BY ALL) u USING (run_id)
+""")
 def _(t):
     from .evidence import Chain
 
-    c = Chain(t)
+    c = Chain(t, staged=True)
     usage = priced(t).withColumn("run_id", F.concat(F.lit("src"), F.col("run_id") % 20))
     return rt.report_rows(t.analysis_runs.withColumn("goal", F.concat(F.lit("goal "), "run_id")), c.findings, c.requirements, c.tests, usage)
 

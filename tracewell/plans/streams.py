@@ -27,9 +27,17 @@ UNION ALL SELECT 'queued_without_executor', stage, ts, CASE WHEN p = 0 THEN v EL
 UNION ALL SELECT 'failed_jobs_1h', CAST(user_id AS VARCHAR), b + INTERVAL 1 HOUR, CAST(count(*) AS DOUBLE)
   FROM (SELECT user_id, unnest([time_bucket(INTERVAL 10 MINUTE, ts) - to_minutes(10 * i) FOR i IN range(6)]) AS b FROM events WHERE event_type = 'error') GROUP BY 2, 3
 """)
-cte("rule_rows", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{r}', '{m}', '{op}', CAST({limit} AS DOUBLE), {hold}, '{sev}')" for r, m, op, limit, hold, sev in al.RULES
-) + ") v(rule, metric, op, threshold, hold_minutes, severity)")
+cte("rule_rows", """
+SELECT * FROM (VALUES
+  ('process_down', 'up', '==', CAST(0.0 AS DOUBLE), 2, 'critical'),
+  ('not_ready', 'worker_ready', '==', CAST(0.0 AS DOUBLE), 5, 'warning'),
+  ('stage_slow', 'stage_p95_seconds', '>', CAST(120.0 AS DOUBLE), 10, 'warning'),
+  ('model_slow', 'model_p95_seconds', '>', CAST(60.0 AS DOUBLE), 10, 'warning'),
+  ('queue_backlog', 'queue_depth', '>', CAST(5.0 AS DOUBLE), 10, 'warning'),
+  ('executor_missing', 'queued_without_executor', '>', CAST(0.0 AS DOUBLE), 10, 'critical'),
+  ('job_failures', 'failed_jobs_1h', '>', CAST(0.0 AS DOUBLE), 5, 'warning')
+) v(rule, metric, op, threshold, hold_minutes, severity)
+""")
 
 
 def islands(step: int, metrics: str) -> str:

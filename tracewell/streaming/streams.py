@@ -109,7 +109,7 @@ def tail_events(events: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["run_id", "id", "status"])
 
     return events.select("run_id", "id", "status").groupBy("run_id").applyInPandasWithState(
-        step, "run_id bigint, id bigint, status string", "last bigint, done boolean", "append", GroupStateTimeout.NoTimeout)
+        step, f"run_id {dict(events.dtypes)['run_id']}, id bigint, status string", "last bigint, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def rolling_metrics(timings: DataFrame, width: str, delay: str) -> DataFrame:
