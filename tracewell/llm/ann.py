@@ -66,7 +66,9 @@ def make_index(distinct: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     shards = sizes.select("dim", F.ceil(F.col("n") / shard_rows).cast("bigint").alias("shards"))
     dealt = distinct.withColumn("dim", F.size("vector")).join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("point"), "shards").cast("int"))
     arrow_rows(distinct.sparkSession, 10_000)
-    return staged(dealt.select("dim", "shard", "point", "vector").groupBy("dim", "shard").applyInPandas(shard, INDEX), "ann-index")
+    # Few bytes and much work: without a stated number, partitions would be merged by size into few tasks.
+    dealt = dealt.select("dim", "shard", "point", "vector").repartition(parts_of(distinct.count(), shard_rows), "dim", "shard")
+    return staged(dealt.groupBy("dim", "shard").applyInPandas(shard, INDEX), "ann-index")
 
 
 def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,11 +104,13 @@ def search(index: DataFrame, asked: DataFrame, k: int, beam: int = BEAM, query_r
     """query, point, score: the k best points found in every shard; asked: query, vector, one row per query."""
     shards = index.groupBy("dim").agg((F.max("shard") + 1).alias("shards"))
     blocks = parts_of(asked.count(), query_rows)
+    tasks = blocks * index.select("dim", "shard").distinct().count()
     asked = asked.withColumn("dim", F.size("vector")).join(shards, "dim")
     asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"), "query", "vector")
     placed = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
     arrow_rows(index.sparkSession, 10_000)
     key = ["dim", "shard", "block"]
+    placed, asked = placed.repartition(max(1, tasks), *key), asked.repartition(max(1, tasks), *key)
     return placed.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(lambda a, b: _search(a, b, k, beam), HITS)
 
 
