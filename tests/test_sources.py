@@ -63,10 +63,13 @@ def test_social_posts(spark):
 def test_stage_write_is_repeatable_and_skips_done_work(spark, tmp_path):
     path, manifest = str(tmp_path / "stage"), str(tmp_path / "manifest")
     work = spark.createDataFrame([("r1", "clean", -1, "a"), ("r2", "clean", -1, "b")], "run_id string, stage string, batch_index int, v string")
+    first = work.where("run_id = 'r1'")
     for _ in range(2):
-        sinks.write_stage(work.where("run_id = 'r1'"), path, manifest)
-    assert spark.read.parquet(path).count() == 1
+        sinks.write_stage(first, first, path, manifest)
+    assert sinks.read_stages(spark, path, manifest).count() == 1
     assert [r.run_id for r in sinks.pending(work, manifest).collect()] == ["r2"]
+    sinks.write_stage(work.where("false"), work.where("run_id = 'r2'"), path, manifest)  # a stage without rows is done as well
+    assert sinks.pending(work, manifest).count() == 0 and sinks.read_stages(spark, path, manifest).count() == 1
 
 
 def test_logs(spark, tmp_path):

@@ -54,7 +54,7 @@ def imported(t):
     return rv.normalize_review_columns(rows.withColumns({"app_id": F.lit("app"), "source": F.lit("import:json"), "ord": F.col("n")}))
 
 
-@query("ingest_json_columns", "SRC-1", "SRC-2", "SRC-3", sql="""
+@query("ingest_json_columns", "SRC-1", "SRC-3", sql="""
 SELECT file, n, NULL AS error, review_id, chars, rating, language, app_version, 'us' AS storefront, '' AS title FROM landed_rows
 UNION ALL SELECT DISTINCT doc_id // 20, NULL, 'not JSON', NULL, NULL, NULL, NULL, NULL, 'us', '' FROM documents WHERE (doc_id // 20) % 7 = 3
 """)
