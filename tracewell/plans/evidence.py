@@ -381,14 +381,14 @@ def _(t):
 SELECT run_id, requirement_id, draft_no, title, priority_score, target_version, n_findings, n_reviews FROM requirements
 """)
 def _(t):
-    return Chain(t).requirements.select(
+    return Chain(t, staged=True).requirements.select(
         "run_id", "requirement_id", "draft_no", "title", "priority_score", "target_version", "n_findings", "n_reviews"
     )
 
 
 @query("chain_requirement_sources", "EVD-9", "SET-4", sql="SELECT run_id, requirement_id, review_id FROM sources")
 def _(t):
-    return Chain(t).sources.drop("at")
+    return Chain(t, staged=True).sources.drop("at")
 
 
 @query("chain_quantity_notice", "EVD-10", sql=f"""
@@ -396,12 +396,12 @@ SELECT a.run_id, count(r.requirement_id) AS n_requirements, CASE WHEN count(r.re
 FROM analysis_runs a LEFT JOIN (SELECT * FROM requirements WHERE draft_no % 3 = 0) r USING (run_id) GROUP BY a.run_id
 """)
 def _(t):
-    return ev.quantity_notice(Chain(t).requirements.where("draft_no % 3 = 0"), t.analysis_runs)
+    return ev.quantity_notice(Chain(t, staged=True).requirements.where("draft_no % 3 = 0"), t.analysis_runs)
 
 
 @query("chain_tests", "EVD-11", sql="SELECT run_id, requirement_id, test_case_id, title, case_type FROM tests")
 def _(t):
-    return Chain(t).tests.select("run_id", "requirement_id", "test_case_id", "title", "case_type")
+    return Chain(t, staged=True).tests.select("run_id", "requirement_id", "test_case_id", "title", "case_type")
 
 
 @query("chain_trace_issues", "EVD-12", sql="SELECT * FROM trace")
@@ -414,7 +414,7 @@ SELECT t.run_id, t.test_case_id, t.requirement_id, l.finding_id, e.pos, e.review
 FROM tests t JOIN links l USING (run_id, requirement_id) JOIN final_evidence e USING (run_id, finding_id) WHERE e.role = 'supporting'
 """)
 def _(t):
-    c = Chain(t)
+    c = Chain(t, staged=True)
     return ev.trace_rows(c.findings, c.support, c.links, c.tests)
 
 
@@ -577,7 +577,7 @@ def _(t):
     marked = rows.select("run_id", "ord").join(first, "ord", "left").select(
         "run_id", F.when(F.col("kept"), "kept").otherwise("exact").alias("reason"), F.lit(False).alias("renamed")
     )
-    c = Chain(t)
+    c = Chain(t, staged=True)
     return ev.overview(clean.cleaning_stats(marked, ["run_id"]), c.findings, c.requirements, c.tests)
 
 

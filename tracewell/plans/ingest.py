@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import clean, inference as inf
+from ..session import staged
 from ..sources import feeds, reviews as rv, sinks
 from .cleaning import batched
 from .ops import NOW, priced
@@ -215,6 +216,13 @@ MODEL = ("deepseek-chat", 0, 4096)
 
 
 def requests(t):
+    """The requests of all batches, written once per query however often it reads them."""
+    if "requests" not in t.__dict__:
+        t.__dict__["requests"] = staged(built_requests(t), "requests")
+    return t.__dict__["requests"]
+
+
+def built_requests(t):
     content = clean.normalize_reviews(t.reviews)
     rows = batched(t).select("run_id", "ord", "batch").join(content.select("ord", "review_id", "rating", F.col("content_original").alias("content")), "ord")
     built = inf.build_requests(rows, ["run_id", "batch"], "ord", ["review_id", "rating", "content"], F.concat(F.lit("Goal: "), "run_id", F.lit("\n")), "\nEnd.")
