@@ -505,7 +505,8 @@ UNION ALL SELECT a.run_id, 'finding_references_exist', f.finding_id, NOT EXISTS
 UNION ALL SELECT a.run_id, 'finding_counts_match', f.finding_id, true FROM {LIVE} JOIN bad_findings f USING (run_id)
 UNION ALL SELECT a.run_id, 'finding_confidence_range', f.finding_id, confidence > 0 AND confidence <= 1 FROM {LIVE} JOIN bad_findings f USING (run_id)
 UNION ALL SELECT a.run_id, 'finding_status_allowed', f.finding_id, evidence_status <> 'rejected' FROM {LIVE} JOIN bad_findings f USING (run_id)
-UNION ALL SELECT a.run_id, 'requirement_count_in_range_or_notice', NULL, true FROM {LIVE}
+UNION ALL SELECT a.run_id, 'requirement_count_in_range_or_notice', NULL, n BETWEEN 5 AND 10 OR (n < 5 AND fault % 2 = 0)
+   FROM {LIVE} JOIN (SELECT run_id, fault, (SELECT count(*) FROM requirements q WHERE q.run_id = r.run_id) AS n FROM run_no r) USING (run_id)
 UNION ALL SELECT a.run_id, 'requirement_inherits_reviews', r.requirement_id, (r.run_id, r.requirement_id) NOT IN
    (SELECT (run_id, requirement_id) FROM ({UNEVEN.format(keys='run_id, requirement_id', a='expected_sources', b='sources')})) FROM {LIVE} JOIN requirements r USING (run_id)
 UNION ALL SELECT a.run_id, 'test_links_requirement', t.test_case_id, (t.run_id, t.requirement_id) IN (SELECT (run_id, requirement_id) FROM requirements) FROM {LIVE} JOIN bad_tests t USING (run_id)
@@ -520,8 +521,10 @@ def _(t):
     c = Chain(t, staged=True)
     findings, evidence, links, tests, test_sources = c.faulty
     reviews = ev.apply_summaries(t.known_reviews, summaries(t))
+    # Every second run forgets its notice.
+    notices = ev.quantity_notice(c.requirements, t.analysis_runs).where(F.regexp_extract("run_id", "([0-9]+)$", 1).cast("int") % 6 % 2 == 0)
     return ev.pipeline_invariants(
-        t.analysis_runs, reviews, findings, evidence, c.requirements, links, c.sources, tests, test_sources, c.trace
+        t.analysis_runs, reviews, findings, evidence, c.requirements, links, c.sources, tests, test_sources, c.trace, notices
     )
 
 
