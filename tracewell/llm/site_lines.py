@@ -15,6 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import spread_join
+from ..session import staged
+
 RATIO = 0.3
 MIN_PAGES = 5
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -56,8 +59,9 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
 
 def without_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, n_lines, n_dropped, text: the lines that stay."""
-    rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), lines_of(F.col(html_col)).alias("lines"))
-    rows = rows.join(boilerplate(rows, ratio, min_pages), "host", "left")
+    # Lines are found once and written; a host's pages meet its list on several salts, as one host may hold most of them.
+    rows = staged(pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), lines_of(F.col(html_col)).alias("lines")), "page-lines")
+    rows = spread_join(rows, boilerplate(rows, ratio, min_pages), ["host"], ["page_id"], "left")
     kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line: ~F.array_contains("dropped", _key(line))))
     rows = rows.select("page_id", "host", F.size("lines").cast("bigint").alias("n_lines"), kept.alias("kept"))
     return rows.select("page_id", "host", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
