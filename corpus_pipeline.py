@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontamination, mixing, quality, queries, simhash, token_files
+from tracewell.llm import decontamination, mixing, quality, queries, similar, token_files
 from tracewell.llm.common import remainder, table
 from tracewell.session import stage_path, staged, tune
 
-#: Near duplicates: five-word shingles; SimHash with this many sets of hashes, each within three bits.
-SHINGLE, TURNS, RADIUS = 5, 8, 3
+#: Near duplicates: the least Jaccard index of the sets of five-word shingles.
+SHINGLE, SIMILAR = 5, 0.8
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -28,15 +28,18 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id."""
+    """One document of each group of near duplicates: the one with the least id.
+
+    SimHash and BK-trees propose pairs; a pair links if its shingle sets have a Jaccard index of SIMILAR or more.
+    """
     keyed = _keyed(docs)
-    prints = staged(simhash.fingerprints(keyed, SHINGLE, TURNS, id_col="__key", keep=("doc_id",)), "pipeline-prints")
-    found = simhash.classes(prints, RADIUS).withColumnRenamed("id", "key")
-    members = staged(found.join(prints.select("key", "doc_id").distinct(), "key"), "pipeline-groups")
+    rows, found = similar.groups(keyed, SHINGLE, SIMILAR, "__key", keep=("doc_id",))
+    members = rows.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = staged(members.select("key", "doc_id", "component"), "pipeline-groups")
     first = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
     gone = members.join(first, "component").where(F.col("key") != F.col("first.key")).select(F.col("key").alias("__key"))
     rows = keyed.join(gone, "__key", "left_anti")
-    again = prints.groupBy(F.col("key").alias("__key")).count().where("count > 1").select("__key")
+    again = members.groupBy(F.col("key").alias("__key")).count().where("count > 1").select("__key")
     one = rows.join(again, "__key", "left_semi").dropDuplicates(["__key", "doc_id", "text"])
     return rows.join(again, "__key", "left_anti").unionByName(one).select(*docs.columns)
 

@@ -38,6 +38,33 @@ def test_one_of_each_group_stays(spark, docs):
     assert ids == sorted([*range(20), 103, None, 104], key=repr)
 
 
+def planted(levels, each=60, shingles=200):
+    """Rows (doc_id, text): base texts, and by level copies cut to that share of the shingles or with words replaced."""
+    random, rows, copies = np.random.default_rng(9), [], {level: [] for level in levels}
+    for n, (level, i) in enumerate((level, i) for level in levels for i in range(each)):
+        words = text(1000 + n, shingles + 4).split(" ")
+        edits = int(shingles * (1 - level) / (1 + level) / 5)
+        if i % 2 and (shingles - 5 * edits) / (shingles + 5 * edits) >= level:
+            copy = list(words)
+            for at in random.permutation(range(4, shingles, 6))[:edits]:
+                copy[at] = "edited"
+        else:
+            copy = words[: round(shingles * level) + 4]
+        rows += [(n, " ".join(words)), (10_000 + n, " ".join(copy))]
+        copies[level].append(10_000 + n)
+    return rows, copies
+
+
+def test_near_copies_are_found_by_similarity_and_confirmed(spark):
+    found_from = 0.8
+    rows, copies = planted([0.95, 0.9, 0.85, found_from, 0.77, 0.7])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in corpus_pipeline.distinct(spark, docs, SF).select("doc_id").collect()}
+    found = {level: 1 - len(kept.intersection(ids)) / len(ids) for level, ids in copies.items()}
+    assert all(share >= 0.98 if level >= found_from else share == 0 for level, share in found.items()), found
+    assert kept.issuperset(i for i, _ in rows if i < 10_000)
+
+
 def test_contaminated_documents_go(spark, docs):
     kept = corpus_pipeline.uncontaminated(spark, docs, SF)
     assert kept.count() == docs.count() - 1 and kept.where("doc_id = 103").count() == 0

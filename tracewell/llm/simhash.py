@@ -176,8 +176,8 @@ def links(nodes: DataFrame, radius: int = 3, tree_rows: int = TREE_ROWS) -> Data
     return found.where("tree < 0").select("a", "b").unionByName(between)
 
 
-def classes(prints: DataFrame, radius: int = 3, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """(id, component_id) of every id that isn't its own class: prints has key and fps, a written table."""
+def turn_links(prints: DataFrame, radius: int = 3, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """Links (a, b), enough to connect what is within the radius in any turn: prints has key and fps, a written table."""
     turns = prints.select(F.posexplode("fps").alias("turn", "fp"), "key").where("key IS NOT NULL")
     nodes = staged(turns.groupBy("turn", "fp").agg(F.min("key").alias("id")), "simhash-nodes")
     equal = turns.join(nodes, ["turn", "fp"]).where("key <> id").select(F.col("key").alias("a"), F.col("id").alias("b"))
@@ -188,7 +188,12 @@ def classes(prints: DataFrame, radius: int = 3, tree_rows: int = TREE_ROWS) -> D
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = equal
-    return components(found.unionByName(equal) if last > 1 else found)
+    return found.unionByName(equal) if last > 1 else found
+
+
+def classes(prints: DataFrame, radius: int = 3, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """(id, component_id) of every id that isn't its own class: prints has key and fps, a written table."""
+    return components(turn_links(prints, radius, tree_rows))
 
 
 def hex_of(fp: Column) -> Column:
