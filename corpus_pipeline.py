@@ -45,10 +45,10 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any ten consecutive words of a benchmark item."""
+    """Documents without any ten consecutive words of a benchmark item, and that aren't as a whole a shorter item."""
     keyed = _keyed(docs)
-    found = decontamination.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="__key")
-    gone = found.where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
+    found = decontamination.repeating(keyed, table(spark, sf_dir, "benchmark"), id_col="__key")
+    gone = found.withColumnRenamed("doc_id", "__key")
     return keyed.join(gone, "__key", "left_anti").select(*docs.columns)
 
 

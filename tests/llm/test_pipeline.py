@@ -70,6 +70,16 @@ def test_contaminated_documents_go(spark, docs):
     assert kept.count() == docs.count() - 1 and kept.where("doc_id = 103").count() == 0
 
 
+def test_short_items_keep_clean_documents(spark, tmp_path):
+    ten = "one two three four five six seven eight nine ten"
+    items = [(1, "yes"), (2, "Lake Como"), (3, ten + " eleven twelve")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "oh yes it rained"), (2, "we saw lake como"), (3, "Yes!"), (4, "lake como"), (5, "yes yes"), (6, f"so {ten} so"), (7, ten[:-4]), (8, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.uncontaminated(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 7, 8, 9]
+
+
 def test_whole_run(spark):
     out = corpus_pipeline.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -127,11 +127,10 @@ def _candidates(texts: pd.Series, bits: np.ndarray, short: list[int], window: in
     return pd.DataFrame({"n_words": np.array(counts, np.int64), "found": pd.Series(found, dtype=object)})
 
 
-def contamination(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, k: int = K, map_bits: int = MAP_BITS,
-) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def _hits(
+    docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, k: int, map_bits: int,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The items' windows, the scanned documents (doc_id, row, n_words) and the windows met (row, fp, words, starts, n_words)."""
     if not 0 < k <= window:
         raise ValueError("a k-gram must fit in a window")
     windows = staged(item_windows(items, item_col, item_text, window, k), "benchmark-windows")
@@ -151,8 +150,25 @@ def contamination(
     pairs = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.fp", F.col("f.words").alias("__words"), "f.starts")
     distinct = windows.groupBy("fp", "words", "n_words").agg(F.min("item_id").alias("any_item"))
     met = pairs.join(distinct.select("fp", "words", "n_words"), "fp").where(F.col("__words") == F.col("words")).drop("__words")
-    met = staged(met, "winnow-hits")
+    return windows, scanned.select("doc_id", "row", "n_words"), staged(met, "winnow-hits")
+
+
+def repeating(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, k: int = K, map_bits: int = MAP_BITS,
+) -> DataFrame:
+    """doc_id of each document that holds a full window of an item, or that is as a whole an item shorter than a window."""
+    _, scanned, met = _hits(docs, items, id_col, text_col, item_col, item_text, window, k, map_bits)
+    rows = met.select("row", F.col("n_words").alias("__n")).distinct().join(scanned, "row")
+    return rows.where((F.col("__n") == window) | (F.col("__n") == F.col("n_words"))).select("doc_id").distinct()
 
+
+def contamination(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, k: int = K, map_bits: int = MAP_BITS,
+) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (by any window, short items' too)."""
+    windows, rows, met = _hits(docs, items, id_col, text_col, item_col, item_text, window, k, map_bits)
     spans = met.select("row", F.explode("starts").alias("start"), "n_words").select("row", "start", (F.col("start") + F.col("n_words")).alias("end"))
     # Only the furthest end of a start counts; words beyond what came before are new.
     spans = spans.groupBy("row", "start").agg(F.max("end").alias("end"))
@@ -164,7 +180,6 @@ def contamination(
     owners = met.select("row", "fp", "words").join(windows.select("fp", "words", "item_id"), ["fp", "words"]).where("item_id IS NOT NULL")
     owners = owners.select("row", F.col("item_id").cast("string").alias("item")).distinct()
     listed = owners.groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("__list"))
-    rows = scanned.select("doc_id", "row", "n_words")
     rows = rows.join(hit, "row", "left").join(listed, "row", "left")
     return rows.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("bigint")).alias("n_items"),
