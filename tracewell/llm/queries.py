@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage_path, tune
-from . import ann, archive, chat, decontamination, lm_scoring, mixing, quality, simhash, site_lines, token_files
+from . import ann, archive, chat, decontamination, lm_scoring, mixing, quality, repair, simhash, site_lines, token_files
 from .common import remainder, table
 
 QUERIES: dict = {}
@@ -201,3 +201,81 @@ FROM p LEFT JOIN ln l USING (r) LEFT JOIN dropped d ON d.host = l.host AND d.lin
 @query("op4_site_lines", sql=_lines_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.without_boilerplate(table(spark, sf_dir, "pages"))
+
+
+#: The CRC of an ASCII text, bit by bit (DuckDB has no function for it).
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({}, ''), lambda c: unicode(c)::BIGINT)),
+           lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _audit_sql() -> str:
+    """The edit program as a recursion over the rows: cost (9 digits) and audit of the four states e, s, u, a; ~ for none."""
+    plus = lambda x, cost, char: f"CASE WHEN {x} = '~' THEN '~' ELSE printf('%09d', CAST(left({x}, 9) AS BIGINT) + {cost}) || substr({x}, 10) || '{char}' END"
+    to_user = f"least(u, {plus('e', 2, 'I')}, {plus('s', 2, 'I')}, {plus('a', 2, 'I')})"
+    closed = f"e, s, {to_user} AS u, least(a, {plus('u', 2, 'I')}, {plus(f'({to_user})', 2, 'I')}) AS a"
+    keep = lambda role, x: f"CASE WHEN initial = '{role}' AND fault NOT IN ('blank', 'duplicate') THEN {plus(x, 'extra', 'K')} ELSE '~' END"
+    rerole = lambda x: f"CASE WHEN fault NOT IN ('blank', 'duplicate') THEN {plus(x, '2 + extra', 'R')} ELSE '~' END"
+    step = f"""{plus('e', 3, 'D')} AS e, least({plus('s', 3, 'D')}, {keep('s', 'e')}) AS s,
+      least({plus('u', 3, 'D')}, {keep('u', 'e')}, {keep('u', 's')}, {keep('u', 'a')}, {rerole('e')}, {rerole('s')}, {rerole('a')}) AS u,
+      least({plus('a', 3, 'D')}, {keep('a', 'u')}, {rerole('u')}) AS a"""
+    return f"""
+WITH RECURSIVE damaged AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {CRC32.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS code FROM conversations
+), kept AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE code WHEN 3 THEN 2 ELSE 1 END)) AS again
+  FROM damaged WHERE code <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), again) AS n,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) AS nth,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending FROM kept
+), faults AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before,
+         CASE WHEN ending = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         CASE WHEN ending NOT IN ('', '.', '!', '?') AND nth = 1 THEN 1 ELSE 0 END AS extra FROM numbered
+), steps AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS e, '~' AS s, '000000002I' AS u, '000000004II' AS a FROM kept
+  UNION ALL
+  SELECT conv_id, n, {closed} FROM (SELECT f.conv_id, f.n, {step} FROM steps p JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.n = p.i + 1)
+), found AS (
+  SELECT conv_id, least(e, a) AS best FROM steps QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+), edits AS (
+  SELECT conv_id, CAST(left(best, 9) AS BIGINT) AS cost, substr(best, 10) AS audit FROM found
+), chars AS (
+  SELECT conv_id, j, audit[j] AS edit, len(regexp_replace(audit[1:j], '[^KRD]', '', 'g')) AS n, len(regexp_replace(audit[1:j], '[^KRI]', '', 'g')) AS m
+  FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS j FROM edits)
+), said AS (
+  SELECT c.conv_id, c.j, c.edit, c.m, f.role, coalesce(f.text, '') AS text,
+         first_value(CASE WHEN c.edit = 'K' AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY c.conv_id ORDER BY c.j) AS system
+  FROM chars c LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.n = c.n AND c.edit <> 'I' WHERE c.edit <> 'D'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (m - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS lines
+  FROM said GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (n > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN edits e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+@query("op11_repaired_conversations", sql=_audit_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    code = F.crc32(key.cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    damaged = turns.where(code != 0).select(
+        "conv_id", "turn", F.when(code == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(code == 1, "").when(code == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.when(code == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    found = repair.repair(damaged).withColumnRenamed("conv_id", "id")
+    out = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
