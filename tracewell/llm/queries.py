@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage_path, tune
-from . import ann, archive, chat, decontamination, hard_negatives, lm_scoring, mixing, quality, repair, simhash, site_lines, token_files
+from . import ann, archive, chat, decontamination, hard_negatives, lm_scoring, mixing, quality, repair, secrets, simhash, site_lines, token_files
 from .common import remainder, table
 
 QUERIES: dict = {}
@@ -301,3 +301,39 @@ QUALIFY rank <= 5
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+def _secrets_sql() -> str:
+    rules = secrets.BASE + secrets.ADDED
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    found = "\nUNION ALL\n".join(f"""  SELECT r, {n} AS number, {q(rule.kind)} AS kind, regexp_extract_all(text, {q(rule.pattern)}) AS m,
+         string_split_regex(text, {q(rule.pattern)}) AS p, regexp_extract_all(text, {q(rule.pattern)}, {rule.group}) AS g, {rule.least} AS least FROM d""" for n, rule in enumerate(rules))
+    base = f"number < {len(secrets.BASE)}"
+    counts = ", ".join(f"count(*) FILTER (number = {n}) AS n_{r.kind}" for n, r in enumerate(secrets.BASE))
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents
+), found AS (
+{found}
+), spans AS (
+  SELECT r, number, kind, i, list_sum(list_transform(p[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: len(x))), 0) AS start, len(m[i]) AS n
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found) WHERE len(g[i]) >= least
+), lines AS (
+  SELECT r, number, start, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + n AS BIGINT) AS line FROM spans
+), sums AS (
+  SELECT r, {counts}, string_agg(line, ',' ORDER BY start, number) FILTER ({base}) AS base, string_agg(line, ',' ORDER BY start, number) AS spans FROM lines GROUP BY r
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN sums USING (r)
+"""
+
+
+@query("op12_secret_spans", sql=_secrets_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = secrets.BASE + secrets.ADDED
+    found = secrets.find(table(spark, sf_dir, "documents"), rules)
+    of_kind = lambda n: F.size(F.filter("spans", lambda s: s["kind"] == n)).cast("bigint")
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
+    return found.select(
+        F.col("id").alias("doc_id"), *[of_kind(n).alias(f"n_{r.kind}") for n, r in enumerate(secrets.BASE)],
+        F.sha2(secrets.written(base, rules), 256).alias("base_sha256"), secrets.written(F.col("spans"), rules).alias("spans"))
