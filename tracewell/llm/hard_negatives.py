@@ -57,7 +57,8 @@ class Heaps:
         """Merge a tile of scores (heaps x ids) where it is open, without what can't be among the best."""
         masked = np.where(open_, scores, NONE)
         least = self.score[heaps, -1]
-        if masked.shape[1] > self.k:
+        # A repeated id may be one candidate twice, so then the k-th score of a tile is no bound.
+        if masked.shape[1] > self.k and len(np.unique(ids)) == len(ids):
             least = np.maximum(least, np.partition(masked, masked.shape[1] - self.k, axis=1)[:, -self.k])
         row, column = np.nonzero(open_ & (masked >= least[:, None]))
         if len(row):

@@ -44,7 +44,7 @@ LEGAL = {(1, 2), (2, 3), (3, 2)}
 
 PACKED = "conv string, at bigint, codes binary, first bigint, last bigint, turns bigint"
 REPAIR = "conv string, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string"
-CHUNK_ROWS, RANGE_ROWS = 1 << 16, 1 << 18
+CHUNK_ROWS, RANGE_ROWS = 1 << 16, 1 << 14
 
 
 class Audit:
@@ -100,29 +100,33 @@ class Audit:
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Chunks of one conversation's consecutive rows; equal rows but the first are duplicates."""
-    part, now, held, last = 0, None, [], None
+    part, now, held, last, out = 0, None, [], None, []
 
-    def closed() -> pd.DataFrame:
-        nonlocal part
+    def closed() -> tuple:
         turns = [t for _, t in held if t is not None]
-        part += 1
-        return pd.DataFrame({
-            "conv": [now], "at": [held_at], "codes": [bytes(c for c, _ in held)], "first": pd.array([turns[0] if turns else None], "Int64"),
-            "last": pd.array([turns[-1] if turns else None], "Int64"), "turns": [len(set(turns))]})
+        return now, held_at, bytes(c for c, _ in held), turns[0] if turns else None, turns[-1] if turns else None, len(set(turns))
+
+    def frame() -> pd.DataFrame:
+        rows = pd.DataFrame(out, columns=["conv", "at", "codes", "first", "last", "turns"], dtype=object)
+        return rows.astype({"at": "int64", "first": "Int64", "last": "Int64", "turns": "int64"})
 
     for batch in batches:
         for conv, place, turn, row, role, fault, repeat in zip(batch.conv, batch.place, batch.turn, batch.h, batch.role, batch.fault, batch.repeat, strict=True):
             if held and (conv != now or len(held) >= CHUNK_ROWS):
-                yield closed()
-                held = []
+                out.append(closed())
+                held, part = [], part + 1
             if not held:
                 held_at = (int(place) << 32) + part
             turn, same = None if turn is None else int(turn), (conv, turn, row)
             fault = DUPLICATE if fault != BLANK and (repeat or same == last) else int(fault)
             held.append((ROLES.get(role[:1], 0) + 4 * fault, turn))
             now, last = conv, same
+        if out:
+            yield frame()
+            out = []
     if held:
-        yield closed()
+        out.append(closed())
+        yield frame()
 
 
 def _audits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
