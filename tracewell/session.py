@@ -64,3 +64,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+class Rounds:
+    """Tables that a loop writes one after another: each takes the place of the one `keep` rounds before it."""
+
+    def __init__(self, spark: SparkSession, name: str, keep: int = 2):
+        self.spark, self.paths, self.n = spark, [stage_path(spark, name) for _ in range(keep)], 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = self.paths[self.n % len(self.paths)]
+        self.n += 1
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def clear(self, but_last: bool = False) -> None:
+        """Give the space back; a table that was read from here is gone then."""
+        last = (self.n - 1) % len(self.paths)
+        for i, path in enumerate(self.paths[: self.n]):
+            if not (but_last and i == last):
+                self.spark.range(0).write.mode("overwrite").parquet(path)
