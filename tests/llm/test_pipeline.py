@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tracewell.llm import similar
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -91,3 +92,59 @@ def test_whole_run(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     assert labels.where("quality = 0").join(good.select("doc_id"), "doc_id").count() <= 0.2 * labels.where("quality = 0").count()
     assert labels.where(F.col("quality") == 1).join(good.select("doc_id"), "doc_id").count() >= 0.95 * labels.where("quality = 1").count()
+
+
+def test_a_large_group_of_near_copies_hands_on_few_pairs(spark, monkeypatch):
+    random, base, n = np.random.default_rng(11), text(77, 300).split(" "), 400
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in random.permutation(300)[:3]:
+            words[at] = f"edit{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    asked, judge = [], similar.confirmed
+
+    def counting(pairs, *rest):
+        asked.append(pairs.count())
+        return judge(pairs, *rest)
+
+    monkeypatch.setattr(similar, "confirmed", counting)
+    kept = [r.doc_id for r in corpus_pipeline.distinct(spark, docs, SF).collect()]
+    assert kept == [0] and sum(asked) <= 60 * n, asked
+
+
+def test_forests_leave_out_pairs_until_one_is_refuted():
+    fps, ids = [0, 1, 3, 7], [10, 11, 12, 13]
+    pairs, more = similar.run_pairs(fps, ids, ids, set(), 3, True)
+    assert len(pairs) == 3 and more
+    again, _ = similar.run_pairs(fps, ids, ids, set(pairs), 3, True)
+    assert again and not set(again) & set(pairs)
+    every, more = similar.run_pairs(fps, ids, ids, set(pairs), 3, False)
+    assert len(every) == 3 and not more and not set(every) & set(pairs)
+    assert similar.run_pairs(fps, ids, [5, 5, 5, 5], set(), 3, True) == ([], False)
+
+
+def test_near_misses_are_refuted_and_hide_nothing(spark):
+    """Texts at 0.74 to each other, and one true near copy of each: all copies go, all others stay."""
+    shared, rows = text(5, 170).split(" "), []
+    for i in range(12):
+        own = text(100 + i, 26).split(" ")
+        rows += [(i, " ".join(shared + own)), (100 + i, " ".join(shared + own + ["more"]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, SF).collect())
+    assert kept == list(range(12))
+
+
+def test_similar_edges(spark):
+    long = text(9, 60_000)
+    rows = [(1, long), (2, long + " end"), (3, None), (4, ""), (5, "one two three"), (5, "one two three"), (None, "no id"), (6, "ONE two three")]
+    columns = "id bigint, words string, key int, node string, fps int, class double, combo string, left_text string"
+    docs = spark.createDataFrame([(*r, 1, "n", 2, 0.5, "c", "l") for r in rows], columns)
+    named, found = similar.groups(docs, 5, 0.8, "id", "words")
+    classes = {}
+    for r in named.join(found.withColumnRenamed("id", "node"), "node", "left").collect():
+        classes.setdefault(r.component if r.component is not None else r.node, []).append(r.key)
+    assert sorted(map(sorted, classes.values())) == [[1, 2], [3, 4], [5, 5, 6]]
+    named, found = similar.groups(docs.where("false"), 5, 0.8, "id", "words")
+    assert named.count() == 0 and found.count() == 0

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import Rounds
 
 
 def _checksum(links: DataFrame) -> tuple:
@@ -20,7 +20,9 @@ def _checksum(links: DataFrame) -> tuple:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in `links` (a, b); component is the least id reachable."""
-    links = staged(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    spark = links.sparkSession
+    rounds, larger = Rounds(spark, "links"), Rounds(spark, "large-stars", keep=1)
+    links = rounds.put(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     while (now := _checksum(links)) != last:
         last = now
@@ -28,10 +30,12 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         # Large star: neighbours above a node point at the least of its neighbourhood.
         large = links.select(F.col("b").alias("n"), F.col("a").alias("v")).join(least.withColumnRenamed("a", "n"), "n").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = staged(large, "links")
+        large = larger.put(large)
         # Small star: neighbours below a node, and the node, point at the least of them.
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        links = staged(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "links")
+        links = rounds.put(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct())
+    larger.clear()
+    rounds.clear(but_last=True)
     stars = links.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
     return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())

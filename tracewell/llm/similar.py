@@ -1,21 +1,26 @@
-"""Pairs of similar texts: proposed by SimHash and BK-trees, confirmed by the Jaccard index of their shingle sets.
+"""Classes of similar texts: pairs proposed by SimHash and BK-trees, confirmed by the Jaccard index of their shingle sets.
 
 Texts with the same set of word shingles are one node from the start. Fingerprints are SimHashes of
 the set (each shingle once). At Jaccard j the cosine of two sets is 2j / (1 + j) at least, so a bit differs with
-probability acos(2j / (1 + j)) / pi at most: 0.15 at 0.8. Proposals come from two passes:
+probability acos(2j / (1 + j)) / pi at most: 0.15 at 0.8. Classes grow in passes:
 
-1. Spanning links within `NEAR` bits (`simhash.turn_links`) join what is almost equal, so a large group of near
-   copies is one class before its members would meet pairwise.
-2. Each block of `width` bits of each fingerprint is a shard key. A shard builds a BK-tree and looks up its members
-   within `RADIUS` bits; pairs within a class of pass 1 are left out, all others are handed on. `turns` takes so many
-   fingerprints that a pair at the asked index shares no block with probability `MISS` at most, whatever the number
-   of nodes (blocks widen with it, so that shards stay small).
+1. Spanning links within `NEAR` bits (`simhash.turn_links`) join what is almost equal.
+2. Each block of `width` bits of each fingerprint is a shard key, first of `FIRST_TURNS` fingerprints, then of all others. A shard
+   keeps a BK-tree of its members and looks each up within `RADIUS` bits. `turns_for` takes so many fingerprints that a pair at the
+   asked index shares no block with probability `MISS` at most, whatever the number of nodes (blocks widen with it, so
+   that shards stay small).
 
-A proposed pair whose fingerprints differ in over `SCREEN` of all bits is dropped; every other one is confirmed on the shingles
-themselves and links only from `least` on. Sets of four and five shingles are worse than the law (a bit differs with
-probability 0.19): 98 of 100 such pairs are found. A class of any size gives its shards its members as rows.
+A shard hands on a spanning forest: a pair only where its two classes aren't connected yet by pairs it has handed on, so fewer pairs than
+members, never all pairs of a group of copies. Pairs whose fingerprints differ in over `SCREEN` of all bits are refuted, all others are compared by
+their shingles and link from `least` on. Classes are contracted. A shard that left out a pair and had one refuted is worked
+again with the classes as they are then, without its refuted pairs; after `FOREST_ROUNDS` such rounds it hands on one pair for every two
+classes, so near misses end in few rounds. It is done when no shard has a pair of different classes left that was neither
+confirmed nor refuted: the classes are those of all pairs that share a block and pass radius, screen and comparison.
 
-Nulls: a null or empty text has no shingles; all of these are one node. A null key is left out.
+Sets of four and five shingles are worse than the law (a bit differs with probability 0.19): 98 of 100 such pairs are found.
+A shard of any size is a sorted stream to one task, which holds its fingerprints (16 bytes and a tree node a member).
+
+Nulls: a null or empty text has no shingles; all of these are one node. A null key is left out. Columns of `docs` may have any names.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import Rounds, staged
 from .bk_tree import BKTree
 from .common import arrow_rows, words
 from .components import components
@@ -38,6 +43,9 @@ from .simhash import SEED, remixed, shingle_hashes, turn_links
 
 #: Pass 1: bits and fingerprints; pass 2: bits within a shard; the share of pairs at `least` that share no block; differing bits of all.
 NEAR, NEAR_TURNS, RADIUS, MISS, SCREEN = 3, 4, 16, 5e-4, 0.22
+#: Fingerprints that are worked first, and rounds in which a shard hands on a forest.
+FIRST_TURNS, FOREST_ROUNDS = 6, 2
+PROPOSED = "combo bigint, masked bigint, more boolean, a bigint, b bigint"
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -92,45 +100,92 @@ def jaccard(a: str | None, b: str | None, k: int) -> float:
     return both / (len(x) + len(y) - both) if x or y else 1.0
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard index of `least` or more; texts has id and text."""
+def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Distinct pairs (a, b) with `good`: whether their shingle sets have a Jaccard index of `least` or more.
+
+    nodes has id and fps, texts id and text. Texts are only read where fingerprints leave it open.
+    """
 
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([jaccard(a, b, shingle) >= least for a, b in zip(left, right, strict=True)], dtype=bool)
 
+    both = pairs.select("a", "b").distinct()
+    both = both.join(nodes.select(F.col("id").alias("a"), F.col("fps").alias("x")), "a").join(nodes.select(F.col("id").alias("b"), F.col("fps").alias("y")), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    screened = staged(both.select("a", "b", (apart <= F.size("x") * 64 * SCREEN).alias("open")), "similar-screened")
+    open_ = screened.where("open").select("a", "b")
+    needed = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = texts.join(needed, "id", "left_semi").dropDuplicates(["id"])
     arrow_rows(pairs.sparkSession, 200)
-    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("__left")), "a")
-    rows = rows.join(texts.select(F.col("id").alias("b"), F.col("text").alias("__right")), "b")
-    return staged(rows.where(similar("__left", "__right")).select("a", "b"), "similar-links")
+    rows = open_.join(held.select(F.col("id").alias("a"), F.col("text").alias("left_text")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("right_text")), "b")
+    judged = rows.select("a", "b", similar("left_text", "right_text").alias("good"))
+    return staged(judged.unionByName(screened.where("NOT open").select("a", "b", F.lit(False).alias("good"))), "similar-judged")
+
+
+class _Forest:
+    """Which classes of a shard are connected by the pairs it hands on."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
+    def find(self, c: int) -> int:
+        while (up := self.parent.get(c, c)) != c:
+            self.parent[c] = c = self.parent.get(up, up)
+        return c
 
-def _run_pairs(fps: list[int], classes: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """Positions of pairs of different classes within the radius; the largest class is only looked up in."""
+    def joined(self, a: int, b: int) -> bool:
+        """Connect two classes; false if they were."""
+        a, b = self.find(a), self.find(b)
+        self.parent[a] = b
+        return a != b
+
+
+def run_pairs(fps: list[int], ids: list[int], classes: list[int], refuted: set[tuple[int, int]], radius: int, forest: bool) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of ids of different classes within the radius, and whether others were left out for them.
+
+    With `forest`, pairs that connect all classes that can be connected, else one pair for every two classes. The largest
+    class is only looked up in.
+    """
     large, n = Counter(classes).most_common(1)[0]
     if n == len(classes):
-        return
-    tree, order = BKTree(radius), []
+        return [], False
+    tree, order, pairs, more, links, seen = BKTree(radius), [], [], False, _Forest(), set()
     for i in sorted(range(len(fps)), key=lambda i: classes[i] != large):
         if classes[i] != large:
             for at in tree.near(fps[i]):
-                if classes[order[at]] != classes[i]:
-                    yield order[at], i
+                j = order[at]
+                if classes[j] == classes[i]:
+                    continue
+                pair = (min(ids[i], ids[j]), max(ids[i], ids[j]))
+                if pair in refuted:
+                    continue
+                two = (min(classes[i], classes[j]), max(classes[i], classes[j]))
+                if links.joined(*two) if forest else two not in seen:
+                    pairs.append(pair)
+                else:
+                    more = True
+                seen.add(two)
         tree.add(fps[i])
         order.append(i)
+    return pairs, more
 
 
-def _shards(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Pairs of each run of rows with one shard key; a run may go on in the next batch."""
-    columns, held = ["combo", "masked", "fp", "id", "class"], []
+def _shards(batches: Iterator[pd.DataFrame], radius: int, forest: bool) -> Iterator[pd.DataFrame]:
+    """Proposals of each run of rows with one shard key; a run may go on in the next batch. Rows without class are refuted pairs (fp, id)."""
+    columns, held = ["combo", "masked", "fp", "id", "class", "member"], []
 
     def out(rows: np.ndarray) -> pd.DataFrame:
         at = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1), True]) if len(rows) else np.zeros(0, np.int64)
-        fps, ids, classes, pairs = rows[:, 2].copy().view(np.uint64).tolist(), rows[:, 3].tolist(), rows[:, 4].tolist(), []
+        found = []
         for i in np.flatnonzero(np.diff(at) > 1):
-            a, b = at[i], at[i + 1]
-            pairs += [(min(x, y), max(x, y)) for x, y in ((ids[a + p], ids[a + q]) for p, q in _run_pairs(fps[a:b], classes[a:b], radius))]
-        return pd.DataFrame(sorted(set(pairs)), columns=["a", "b"], dtype="int64")
+            run = rows[at[i] : at[i + 1]]
+            member = run[:, 5] == 1
+            refuted = set(map(tuple, run[~member, 2:4].tolist()))
+            run = run[member]
+            pairs, more = run_pairs(run[:, 2].copy().view(np.uint64).tolist(), run[:, 3].tolist(), run[:, 4].tolist(), refuted, radius, forest) if len(run) > 1 else ([], False)
+            found += [(rows[at[i], 0], rows[at[i], 1], more, a, b) for a, b in pairs]
+        return pd.DataFrame(found, columns=["combo", "masked", "more", "a", "b"]).astype({"combo": "int64", "masked": "int64", "more": "bool", "a": "int64", "b": "int64"})
 
     for batch in batches:
         rows = batch[columns].to_numpy(np.int64)
@@ -148,20 +203,44 @@ def _shards(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFra
         yield out(np.concatenate(held))
 
 
-def proposed(nodes: DataFrame, width: int, radius: int = RADIUS) -> DataFrame:
-    """Distinct pairs (a, b) of different classes that share a block and pass the screen; nodes has id, fps, class."""
+def members(nodes: DataFrame, first: int, turns: int, width: int) -> DataFrame:
+    """A row per node and block (combo, masked) of its fingerprints `first` …; nodes has id, fps, class."""
     per = 64 // width
-    prints = nodes.select("id", "class", F.posexplode("fps").alias("turn", "fp"))
+    prints = nodes.select("id", "class", F.posexplode(F.slice("fps", first + 1, turns)).alias("turn", "fp"))
     blocks = F.array(*[
-        F.struct((F.col("turn") * per + i).alias("combo"), F.shiftright("fp", i * width).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).alias("masked"))
+        F.struct(((F.col("turn") + first) * per + i).cast("bigint").alias("combo"), F.shiftright("fp", i * width).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).alias("masked"))
         for i in range(per)])
-    rows = prints.select(F.explode(blocks).alias("k"), "fp", "id", "class").select("k.combo", "k.masked", "fp", "id", "class")
+    return prints.select(F.explode(blocks).alias("k"), "fp", "id", "class").select("k.combo", "k.masked", "fp", "id", "class", F.lit(1).cast("bigint").alias("member"))
+
+
+def linked(nodes: DataFrame, texts: DataFrame, known: DataFrame, first: int, turns: int, width: int, shingle: int, least: float, radius: int = RADIUS) -> DataFrame:
+    """Confirmed links (a, b): those `known`, and enough to connect all pairs that share a block of the fingerprints `first` …"""
     arrow_rows(nodes.sparkSession, 20_000)
-    rows = rows.repartition("combo", "masked").sortWithinPartitions("combo", "masked")
-    pairs = staged(rows.mapInPandas(lambda batches: _shards(batches, radius), "a bigint, b bigint").distinct(), "similar-pairs")
-    both = pairs.join(nodes.select(F.col("id").alias("a"), F.col("fps").alias("x")), "a").join(nodes.select(F.col("id").alias("b"), F.col("fps").alias("y")), "b")
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
-    return both.where(apart <= F.size("x") * 64 * SCREEN).select("a", "b")
+    refuted, active, round_ = None, None, 0
+    links, classed = Rounds(nodes.sparkSession, "similar-links"), Rounds(nodes.sparkSession, "similar-classed")
+    while True:
+        classes = components(known).select("id", F.col("component").alias("class"))
+        now = classed.put(nodes.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")))
+        rows = members(now, first, turns, width)
+        if active is not None:
+            rows = rows.join(active, ["combo", "masked"], "left_semi").unionByName(refuted)
+        rows = rows.repartition("combo", "masked").sortWithinPartitions("combo", "masked")
+        arrow_rows(nodes.sparkSession, 20_000)
+        forest = round_ < FOREST_ROUNDS
+        found = staged(rows.mapInPandas(lambda batches, forest=forest: _shards(batches, radius, forest), PROPOSED), "similar-proposed")
+        judged = confirmed(found, nodes, texts, shingle, least)
+        known = links.put(known.unionByName(judged.where("good").select("a", "b")))
+        bad = found.join(judged.where("NOT good").select("a", "b"), ["a", "b"])
+        bad = bad.select("combo", "masked", F.col("a").alias("fp"), F.col("b").alias("id"), F.lit(0).cast("bigint").alias("class"), F.lit(0).cast("bigint").alias("member"), "more")
+        bad = staged(bad, "similar-refuted")
+        active = bad.where("more").select("combo", "masked").distinct()
+        if not bad.where("more").head(1):
+            classed.clear()
+            return known
+        # Shards worked again need all their refuted pairs, of this round and of those before.
+        bad = bad.drop("more")
+        refuted = staged((bad if refuted is None else refuted.unionByName(bad)).join(active, ["combo", "masked"], "left_semi"), "similar-refuted")
+        round_ += 1
 
 
 def groups(docs: DataFrame, shingle: int, least: float, id_col: str, text_col: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -169,13 +248,13 @@ def groups(docs: DataFrame, shingle: int, least: float, id_col: str, text_col: s
     n = docs.count()
     prints = staged(fingerprints(docs, shingle, turns_for(n, least), id_col, text_col, keep), "similar-prints").where("key IS NOT NULL")
     same = ["n_shingles", "set_hash"]
-    named = prints.groupBy(*same).agg(F.min("key").alias("id"))
+    named = staged(prints.groupBy(*same).agg(F.min("key").alias("id")), "similar-named")
     nodes = staged(prints.join(named, [*same]).where("key = id").select("id", "fps").dropDuplicates(["id"]), "similar-nodes")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(nodes.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     near = turn_links(staged(nodes.select(F.col("id").alias("key"), F.slice("fps", 1, NEAR_TURNS).alias("fps")), "similar-near"), NEAR)
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    near = confirmed(near, texts, shingle, least)
-    first = components(near).select("id", F.col("component").alias("class"))
-    classed = staged(nodes.join(first, "id", "left").withColumn("class", F.coalesce("class", "id")), "similar-classed")
-    wide = confirmed(proposed(classed, width_of(n)), texts, shingle, least)
-    return prints.join(named, same).select("key", *keep, F.col("id").alias("node")), components(near.unionByName(wide))
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+    known = confirmed(near, nodes, texts, shingle, least).where("good").select("a", "b")
+    turns, width = turns_for(n, least), width_of(n)
+    known = linked(nodes, texts, known, 0, FIRST_TURNS, width, shingle, least)
+    known = linked(nodes, texts, known, FIRST_TURNS, turns - FIRST_TURNS, width, shingle, least)
+    return prints.join(named, same).select("key", *keep, F.col("id").alias("node")), components(known)
