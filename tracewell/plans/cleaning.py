@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.scan import row_numbers
-from ..operators import clean, neardup
+from ..operators import clean, neardup, setsim
 from .registry import cte, query
 from .sqlbase import comp, fold, norm
 
@@ -219,3 +219,36 @@ FROM shared_id_reviews s LEFT JOIN (
 """)
 def _(t):
     return clean.cleaning_stats(neardup.clean_reviews(t.shared_id_reviews, threshold=100), ["run_id"])
+
+
+# Word shingles: texts, their distinct runs of five words, and one representative per set.
+cte("set_words", f"SELECT ord, list_filter(string_split({fold(norm('content'))}, ' '), lambda w: w <> '') AS w FROM corpus")
+cte("set_rows", """
+SELECT ord, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' ')))) AS s FROM set_words WHERE len(w) > 0
+""")
+cte("set_members", """
+SELECT w.ord, coalesce(r.rep, min(w.ord) FILTER (len(w.w) = 0) OVER ()) AS rep, coalesce(r.size, 0) AS size
+FROM set_words w LEFT JOIN (SELECT ord, min(ord) OVER (PARTITION BY s) AS rep, len(s) AS size FROM set_rows) r USING (ord)
+""")
+cte("set_tokens", "SELECT ord AS rep, len(s) AS size, unnest(s) AS token FROM set_rows WHERE ord IN (SELECT rep FROM set_members)")
+cte("set_pairs", """
+SELECT a, b, shared, sa + sb - shared AS "union" FROM (
+  SELECT x.rep AS a, y.rep AS b, any_value(x.size) AS sa, any_value(y.size) AS sb, count(*) AS shared FROM set_tokens x JOIN set_tokens y USING (token) WHERE x.rep < y.rep GROUP BY ALL)
+WHERE shared >= 0.8 * (sa + sb - shared)
+""")
+
+
+@query("jaccard_near_pairs", "CLN-5", sql='SELECT a, b, CAST(shared AS INTEGER) AS shared, CAST("union" AS INTEGER) AS "union" FROM set_pairs')
+def _(t):
+    return setsim.jaccard_near_pairs(t.corpus)[0]
+
+
+@query("jaccard_members", "CLN-5", sql="""
+SELECT m.ord, m.rep, CAST(m.size AS INTEGER) AS size, coalesce(n, 0) AS links
+FROM set_members m LEFT JOIN (SELECT rep, count(*) AS n FROM (SELECT a AS rep FROM set_pairs UNION ALL SELECT b FROM set_pairs) GROUP BY rep) l USING (rep)
+""")
+def _(t):
+    """Every review with the representative of its shingle set and how many other sets are near it."""
+    pairs, rows = setsim.jaccard_near_pairs(t.corpus)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    return rows.join(links, "rep", "left").select("ord", "rep", "size", F.coalesce("links", F.lit(0)).alias("links"))
