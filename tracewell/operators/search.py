@@ -1,8 +1,7 @@
 """Keyword (BM25), vector and combined search over the review corpus, all queries in one plan.
 
-The index is an ordinary table: one row per term and document with positions, document length and
-the columns that filters need. Query terms are small and broadcast when counted small; otherwise
-postings are spread over salts, so a term that occurs in a third of all documents is no hot spot.
+Postings are an ordinary table: one row per term and document with positions, document length and
+the columns that filters need. `text_index` keeps them on disk; without it every search scores the corpus whole.
 """
 
 from __future__ import annotations
@@ -140,8 +139,18 @@ def rank_hits(scored: DataFrame, group: list[str], limit: int) -> DataFrame:
 
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame, limit: int, postings: DataFrame | None = None,
-              totals: DataFrame | None = None, group: list[str] = ("query_id",), query_apps: DataFrame | None = None) -> DataFrame:
-    """Keyword search of all queries. `query_apps` restricts rows, never the statistics."""
+              totals: DataFrame | None = None, group: list[str] = ("query_id",), query_apps: DataFrame | None = None, index=None) -> DataFrame:
+    """Keyword search of all queries. `query_apps` restricts rows, never the statistics.
+
+    With an `index` (`text_index.Index`) only its blocks that can matter are read; otherwise the corpus is scored whole.
+    """
+    if index is not None:
+        from .text_index import score_topk
+
+        scored = score_topk(queries, index, limit, query_apps if "app_id" in group else None)
+        if query_apps is not None:
+            scored = scored.join(query_apps.select("query_id", "app_id", *[c for c in ("app_ord",) if c in query_apps.columns]), ["query_id", "app_id"])
+        return rank_hits(scored, list(group), limit)
     phrases = compile_queries(queries)
     if postings is None:
         postings = build_index(corpus, phrases)

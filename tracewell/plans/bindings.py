@@ -215,12 +215,14 @@ class Tables:
 
     @cached_property
     def queries(self) -> DataFrame:
-        """Benchmark texts as queries: every fourth one whole, of the others the first four words."""
-        words = F.split(X.normalize_text("text"), " ")
-        return self.raw("benchmark").select(
-            F.concat(F.lit("q"), F.col("item_id")).alias("query_id"),
+        """Benchmark texts as queries, whole (q…), and their first four words as further ones (q…s)."""
+        text = X.normalize_text("text")
+        short = F.array_join(F.slice(F.split(text, " "), 1, 4), " ")
+        forms = F.array(F.struct(F.lit("").alias("form"), text.alias("query")), F.struct(F.lit("s").alias("form"), short.alias("query")))
+        return self.raw("benchmark").select("item_id", F.explode(forms).alias("f")).select(
+            F.concat(F.lit("q"), "item_id", "f.form").alias("query_id"),
             F.col("item_id").alias("query_ord"),
-            F.array_join(F.when(F.col("item_id") % 4 == 1, words).otherwise(F.slice(words, 1, 4)), " ").alias("query"),
+            F.col("f.query").alias("query"),
             F.when(F.col("item_id") % 2 == 0, "en").otherwise("zh").alias("language"),
         )
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import search as se
+from ..operators import text_index
+from ..session import stage_path
 from .bindings import Tables
 from .registry import cte, query
 
@@ -57,6 +59,17 @@ cte("bq_allowed", "SELECT * FROM bq_ranked WHERE platform <> 'social'")
 cte("bq_found", f"SELECT query_id, ord, app_id, platform, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS place FROM bq_allowed QUALIFY place <= {K}")
 
 
+_INDEXES: dict[tuple[str, str], text_index.Index] = {}
+
+
+def index(t: Tables) -> text_index.Index:
+    """The stored index of the corpus; made once for a session and its input."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = text_index.create(t.corpus, stage_path(t.spark, "text-index"))
+    return _INDEXES[key]
+
+
 class Search:
     """Shared steps of the search queries."""
 
@@ -65,7 +78,7 @@ class Search:
 
     @cached_property
     def ranked(self):
-        return se.bm25_topk(self.t.queries, self.t.corpus, 3 * K)
+        return se.bm25_topk(self.t.queries, self.t.corpus, 3 * K, index=index(self.t))
 
     @cached_property
     def found(self):
@@ -92,13 +105,13 @@ FROM (SELECT term, ord, n_tokens, count(*) AS tf, string_agg(pos, ',' ORDER BY p
 """)
 def _(t):
     where = F.concat_ws("|", "ord", F.array_join(F.col("positions").cast("array<string>"), ","))
-    return se.build_index(t.corpus).groupBy("term").agg(
+    return index(t).postings().groupBy("term").agg(
         F.count("*").alias("df"), F.sum(F.size("positions")).alias("tf"), F.sum("n_tokens").alias("n_tokens"), F.bit_xor(X.sha_int(where)).alias("digest"))
 
 
 @query("search_term_stats", "RET-2", sql="SELECT term, count(DISTINCT ord) AS df, count(*) AS occurrences FROM token_rows GROUP BY term")
 def _(t):
-    return se.term_stats(se.build_index(t.corpus))
+    return index(t).blocks().groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("docs", F.lit(0).cast("bigint"), lambda n, d: n + d["tf"])).alias("occurrences"))
 
 
 @query("search_phrases", "RET-3", sql="SELECT query_id, CAST(phrase_no AS VARCHAR) || '.0' AS phrase_no, term, CAST(off AS INTEGER) AS \"offset\" FROM bq_phrases")
@@ -109,7 +122,7 @@ def _(t):
 @query("search_matches", "RET-4", sql="SELECT query_id, CAST(phrase_no AS VARCHAR) || '.0' AS phrase_no, ord, CAST(tf AS INTEGER) AS tf FROM bq_hits")
 def _(t):
     phrases = se.compile_queries(t.queries)
-    return se.match_phrases(phrases, se.build_index(t.corpus, phrases)).select("query_id", "phrase_no", "ord", "tf")
+    return se.match_phrases(phrases, index(t).postings(phrases)).select("query_id", "phrase_no", "ord", "tf")
 
 
 @query("search_bm25", "RET-5", "RET-6", sql="SELECT query_id, ord, strict, rank, round(raw_score, 6) AS raw_score, round(score, 5) AS score FROM bq_ranked")
@@ -138,7 +151,7 @@ def query_apps(t):
 
 @query("search_many_apps", "RET-10", sql="SELECT query_id, app_id, ord, place, round(score, 5) AS score FROM many_found")
 def _(t):
-    return se.search_many(t.queries, t.corpus, query_apps(t), K).select("query_id", "app_id", "ord", "place", F.round("score", 5).alias("score"))
+    return se.search_many(t.queries, t.corpus, query_apps(t), K, index=index(t)).select("query_id", "app_id", "ord", "place", F.round("score", 5).alias("score"))
 
 
 cte("vec_hits", f"""
@@ -197,7 +210,7 @@ def fallback(t):
     words = F.split("query", " ")
     v = F.array(odd, F.concat(F.lit(" "), "query", F.lit(" ")), F.concat_ws(" ", words[0], words[1]), F.col("query"))
     variants = t.queries.select("query_id", F.posexplode(v).alias("variant_ord", "variant"))
-    hits = se.search_app(se.bm25_topk(queries, t.corpus, 3 * K), K)
+    hits = se.search_app(se.bm25_topk(queries, t.corpus, 3 * K, index=index(t)), K)
     return queries, hits, variants
 
 
@@ -213,7 +226,7 @@ QUALIFY place <= {K}
 """)
 def _(t):
     gate = se.fallback_queries(*fallback(t))
-    rounds = se.search_app(se.bm25_topk(gate.select(F.col("variant_id").alias("query_id"), "query"), t.corpus, 3 * K), K)
+    rounds = se.search_app(se.bm25_topk(gate.select(F.col("variant_id").alias("query_id"), "query"), t.corpus, 3 * K, index=index(t)), K)
     named = rounds.withColumnRenamed("query_id", "variant_id").join(gate.select("variant_id", "query_id", "variant_ord"), "variant_id")
     return se.merge_rounds(named, K).select("query_id", "ord", "place")
 

@@ -98,10 +98,10 @@ SELECT review_id, ord, app_id, content_original AS content, language, platform,
 FROM reviews
 """)
 cte("bench_queries", f"""
-SELECT 'q' || item_id AS query_id, item_id AS query_ord,
-       CASE WHEN item_id % 4 = 1 THEN {norm('text')} ELSE array_to_string(list_slice(string_split({norm('text')}, ' '), 1, 4), ' ') END AS query,
+SELECT 'q' || item_id || form AS query_id, item_id AS query_ord,
+       CASE form WHEN '' THEN {norm('text')} ELSE array_to_string(list_slice(string_split({norm('text')}, ' '), 1, 4), ' ') END AS query,
        CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'zh' END AS language
-FROM benchmark
+FROM benchmark, (VALUES (''), ('s')) f(form)
 """)
 cte("model_usage", """
 SELECT event_id AS id, user_id AS run_id, CASE WHEN event_id % 10 = 7 THEN NULL ELSE event_type END AS stage,
