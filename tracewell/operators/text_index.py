@@ -30,6 +30,8 @@ from .search import B, K1, RARE, compile_queries
 
 BLOCK, SLICE_DOCS, BUCKETS = 128, 65_536, 32
 DOC = ["ord", "app_id", "platform", "n_tokens"]
+POSTINGS = """term string, slice int, block int, max_tf int, min_tokens int, n int,
+docs array<struct<ord: bigint, app_id: string, platform: string, n_tokens: int, tf: int, positions: array<int>>>, segment int, bucket int"""
 #: A document this close below a floor counts as reaching it.
 SLACK = 1e-6
 
@@ -58,7 +60,7 @@ class Index:
 
     def blocks(self, terms: DataFrame | None = None) -> DataFrame:
         """All blocks, or those of the terms asked for; only their buckets are read."""
-        rows = self.spark.read.parquet(f"{self.path}/postings")
+        rows = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
         if terms is None:
             return rows
         wanted = terms.select("term").distinct()
@@ -93,7 +95,7 @@ def write_segment(corpus: DataFrame, path: str, segment: int, buckets: int) -> N
     placed = rows.withColumn("place", F.row_number().over(best)).withColumn("block", F.expr(f"(place - 1) div {BLOCK}").cast("int"))
     blocks = placed.groupBy("term", "slice", "block").agg(
         F.max("tf").alias("max_tf"), F.min("n_tokens").alias("min_tokens"), F.count(F.lit(1)).cast("int").alias("n"),
-        F.array_sort(F.collect_list(F.struct("ord", "app_id", "platform", "n_tokens", "tf", "positions"))).alias("docs"))
+        F.array_sort(F.collect_list(F.struct(F.col("ord").cast("bigint").alias("ord"), "app_id", "platform", "n_tokens", "tf", "positions"))).alias("docs"))
     blocks = blocks.withColumn("bucket", bucket_of(F.col("term"), buckets)).withColumn("segment", F.lit(segment))
     blocks.repartition("bucket", "slice").sortWithinPartitions("bucket", "term", "slice", "block").write.mode("append").partitionBy("segment", "bucket").parquet(f"{path}/postings")
     size = tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).cast("bigint").alias("n_tokens"))
