@@ -146,6 +146,15 @@ def test_token_files(spark, docs):
     assert [r[1] for r in stored] == [None, 1, 2, 3, 4, 5, 6, 6, 8, 9, 2**60 + 1]
     assert all(a[0] + a[2] == b[0] for a, b in zip(stored, stored[1:], strict=False)) and stored[2][2] == stored[3][2] == 1
     assert sorted(rows_of(token_files.by_key(docs.select("doc_id"), path), "start", "doc_id", "n_tokens")) == stored
+    # An index that names other places finds other documents, or none.
+    right = {r.doc_id: r.start for r in token_files.by_key(docs.select("doc_id"), path).where("doc_id IS NOT NULL").collect()}
+    index = spark.read.parquet(f"{path}/index")
+    moved = F.concat(F.substring("offset", 1, 0), F.unhex(F.expr("repeat('0500000000000000', n)")))
+    for part in ("pages", "shards", "format", "buckets"):
+        spark.read.parquet(f"{path}/{part}").write.parquet(f"{path}/moved/{part}")
+    index.withColumn("offset", moved).write.parquet(f"{path}/moved/index")
+    wrong = {r.doc_id: r.start for r in token_files.by_key(docs.select("doc_id"), f"{path}/moved").where("doc_id IS NOT NULL").collect()}
+    assert wrong != right
     unknown = spark.createDataFrame([(10_000 + i,) for i in range(200)], "doc_id bigint")
     assert token_files.lookup(unknown, path).count() == 0
     other = stage_path(spark, "test-tokens")
@@ -222,4 +231,16 @@ def test_site_lines(spark):
     got = {r[0]: r[1:] for r in rows_of(site_lines.without_boilerplate(pages), "page_id", "host", "n_lines", "n_dropped", "text")}
     assert got[2] == ("h.example", 4, 3, "text 2") and got[11] == (None, 2, 0, "kept\nAll rights © us")
     assert got[10] == ("h.example", 0, 0, "") and got[13] == ("few.example", 1, 0, "All rights © us") and len(got) == 11
+    salted = {r[0]: r[1:] for r in rows_of(site_lines.without_boilerplate(pages, salt_pages=2), "page_id", "host", "n_lines", "n_dropped", "text")}
+    assert salted == got
     assert site_lines.without_boilerplate(empty(pages)).count() == 0
+
+
+def test_site_lines_on_small_hosts(spark):
+    foot = "<footer>foot</footer>"
+    rows = [(1, "http://two/a", f"<p>a</p>{foot}"), (2, "http://two/b", f"<p>b</p>{foot}"), (3, "http://one/a", f"<p>a</p>{foot}")]
+    rows += [(10 + i, f"http://three/{i}", f"<p>{i}</p>" + (foot if i < 2 else "")) for i in range(3)]
+    rows += [(20 + i, f"http://four/{i}", f"<p>{i}</p>" + (foot if i < 1 else "")) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.n_dropped for r in site_lines.without_boilerplate(pages).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 10: 1, 11: 1, 12: 0, 20: 0, 21: 0, 22: 0, 23: 0}

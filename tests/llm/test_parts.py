@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -173,4 +174,5 @@ _BITS = ["the", "The", " ", "\n", "\t", "\u00a0", "\x1c", "it's", "'s", "'", "do
 @given(texts=st.lists(st.lists(st.sampled_from(_BITS), max_size=10).map("".join), max_size=4))
 def test_encoder_says_what_the_tokenizer_says(encoder, texts):
     want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert encoder(texts) == want
+    ids, ends = encoder(pa.array(texts, pa.string()), 7)
+    assert [ids[a:b].tobytes() for a, b in zip([0, *ends][: len(ends)], ends, strict=True)] == [w + np.array([7], "<u4").tobytes() for w in want]

@@ -27,6 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,17 +111,35 @@ class Encoder:
         for x, ids, tail in tailed:
             known[x] = ids + known[tail]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def stretches(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct stretches."""
         if len(self.known) > KNOWN_WORDS:
             self.known, self.older = {"": b""}, self.known
-        lists = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.known.get, parts)) for parts in lists]
-        new = {x for parts, ids in zip(lists, found, strict=True) if None in ids for x, i in zip(parts, ids, strict=True) if i is None}
-        if not new:
-            return [b"".join(ids) for ids in found]
-        self._encode_new(new)
-        known = self.known
-        return [b"".join([known[x] if i is None else i for x, i in zip(parts, ids, strict=True)]) for parts, ids in zip(lists, found, strict=True)]
+        found = list(map(self.known.get, parts))
+        if new := {x for x, ids in zip(parts, found, strict=True) if ids is None}:
+            self._encode_new(new)
+            found = list(map(self.known.get, parts))
+        return found
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id behind it, end to end, and where each text ends.
+
+        Each distinct stretch of the texts is looked at once; its ids are then gathered by position.
+        """
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        ids = [*self.stretches(coded.dictionary.to_pylist()), self._bytes([end_id])]
+        width = np.dtype(self.dtype).itemsize
+        sizes = np.array([len(x) for x in ids], np.int64) // width
+        blob, starts = np.frombuffer(b"".join(ids), self.dtype), np.r_[0, np.cumsum(sizes)[:-1]]
+        offsets = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+        codes = np.insert(coded.indices.to_numpy().astype(np.int64), offsets[1:], len(ids) - 1)
+        lengths = sizes[codes]
+        ends = np.cumsum(lengths)
+        at = np.repeat(starts[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        return blob[at], ends[offsets[1:] + np.arange(len(texts))]
 
 
 def _vocabulary_size(path: str) -> int:
@@ -138,7 +158,7 @@ def write(
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = ["doc_id", "__h"]  # the text's hash lets documents of one key go to several shards
     rows = rows.withColumn("__h", F.xxhash64("text")).repartitionByRange(parts_of(docs.count(), docs_per_shard), *order)
-    rows.sortWithinPartitions(*order).select(F.col("doc_id").cast("string"), "text").mapInPandas(
+    rows.sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(
         lambda batches: _encoded(batches, tokenizer, end_id, dtype, page_tokens), PAGES).write.parquet(f"{path}/pages")
     spark.createDataFrame([(dtype, end_id)], "dtype string, end_id int").coalesce(1).write.parquet(f"{path}/format")
     pages = spark.read.parquet(f"{path}/pages")
@@ -154,21 +174,31 @@ def write(
     spark.createDataFrame([(buckets,)], "buckets bigint").coalesce(1).write.parquet(f"{path}/buckets")
 
 
-def _encoded(batches: Iterator[pd.DataFrame], path: str, end_id: int, dtype: str, page_tokens: int) -> Iterator[pd.DataFrame]:
-    encode, end = Encoder.of(path, dtype), np.array([end_id], dtype).tobytes()
-    shard, page, width = TaskContext.get().partitionId(), 0, np.dtype(dtype).itemsize
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, dtype: str, page_tokens: int) -> Iterator[pa.RecordBatch]:
+    encode, shard, page = Encoder.of(path, dtype), TaskContext.get().partitionId(), 0
     ids, ends, parts, total = [], [], [], 0
+
+    def closed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([shard], pa.int32()), pa.array([page], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int32())), pa.array([b"".join(parts)], pa.binary())],
+            ["shard", "page", "doc_ids", "ends", "ids"])
+
     for batch in batches:
-        for doc_id, encoded in zip(batch.doc_id, encode(batch.text.tolist()), strict=True):
-            parts.append(encoded + end)
-            total += len(parts[-1]) // width
-            ids.append(None if doc_id is None else int(doc_id))
+        if not batch.num_rows:
+            continue
+        found, upto = encode(batch.column("text"), end_id)
+        begin = 0
+        for doc_id, end in zip(batch.column("doc_id").to_pylist(), upto.tolist(), strict=True):
+            parts.append(found[begin:end].tobytes())
+            total += end - begin
+            begin = end
+            ids.append(doc_id)
             ends.append(total)
             if total >= page_tokens:
-                yield pd.DataFrame({"shard": [shard], "page": [page], "doc_ids": [ids], "ends": [ends], "ids": [b"".join(parts)]})
+                yield closed()
                 ids, ends, parts, total, page = [], [], [], 0, page + 1
     if ids:
-        yield pd.DataFrame({"shard": [shard], "page": [page], "doc_ids": [ids], "ends": [ends], "ids": [b"".join(parts)]})
+        yield closed()
 
 
 def _documents(pages: DataFrame, dtype: str, with_crc: bool = True) -> DataFrame:
@@ -241,10 +271,18 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def by_key(keys: DataFrame, path: str) -> DataFrame:
-    """The stored documents of the given keys, found through the index; null keys by their place before all others."""
+    """The stored documents of the given keys: those at the shard and offset that the index names; null keys by their place before all others.
+
+    A document is taken where its stretch begins, and its stored key is compared. Of a repeated key the index names the first
+    document and the length of the whole stretch, so all documents of the key from there on, over shards, are taken.
+    """
     spark = keys.sparkSession
-    found = lookup(keys, path).select(F.col("doc_id").alias("__k"), F.col("shard").alias("__shard"), F.col("offset").alias("__offset"))
+    found = staged(lookup(keys, path), "token-found")
     stored = documents(spark, path)
-    behind = (F.col("shard") > F.col("__shard")) | ((F.col("shard") == F.col("__shard")) & (F.col("offset") >= F.col("__offset")))
-    keyed = stored.join(found, (F.col("doc_id") == F.col("__k")) & behind).drop("__k", "__shard", "__offset")
-    return keyed.unionByName(stored.where("doc_id IS NULL")) if keys.where("doc_id IS NULL").head(1) else keyed
+    one = found.where("n_docs = 1").select(F.col("doc_id").alias("asked"), "shard", "offset", F.col("n_tokens").alias("length"))
+    single = stored.join(one, ["shard", "offset"]).where("doc_id = asked AND n_tokens = length").select(*stored.columns)
+    if found.where("n_docs > 1").head(1):
+        several = found.where("n_docs > 1").select(F.col("doc_id").alias("asked"), F.col("shard").alias("from_shard"), F.col("offset").alias("from_offset"))
+        behind = (F.col("shard") > F.col("from_shard")) | ((F.col("shard") == F.col("from_shard")) & (F.col("offset") >= F.col("from_offset")))
+        single = single.unionByName(stored.join(several, (F.col("doc_id") == F.col("asked")) & behind).select(*stored.columns))
+    return single.unionByName(stored.where("doc_id IS NULL")) if keys.where("doc_id IS NULL").head(1) else single
