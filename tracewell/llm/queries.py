@@ -190,7 +190,7 @@ WITH p AS (
   SELECT r, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM p
 ), dropped AS (
   SELECT host, line FROM (SELECT DISTINCT r, host, line FROM ln) s GROUP BY host, line
-  HAVING count(*) > (SELECT count(*) FROM p q WHERE q.host = s.host) * 0.3 AND count(*) > 1 AND (SELECT count(*) FROM p q WHERE q.host = s.host) >= 5
+  HAVING count(*) > (SELECT count(*) FROM p q WHERE q.host = s.host) * 0.3 AND count(*) > 1
 )
 SELECT page_id, p.host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(count(d.line) AS BIGINT) AS n_dropped,
        coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (d.line IS NULL AND l.line IS NOT NULL), '') AS text

@@ -1,10 +1,11 @@
 """Site-relative line frequency: lines that most pages of a host share are dropped.
 
-A line counts once per page. It is dropped on a host if the pages that hold it exceed `ratio` of the
-host's pages, on hosts of at least `min_pages`. Counting is by (host, line) with partial sums, so a host
+A line counts once per page. It is dropped on a host if two pages or more hold it and these exceed `ratio` of
+the host's pages, whatever their number. Counting is by (host, line) with partial sums, so a host
 of any size is spread over all tasks. The fractions of a host's lines sum to its mean number of lines
 per page, so at most (mean / ratio) lines of a host are dropped: that list is one bounded row per host,
-and pages meet it in one join. Lines travel as 96 bits of hashes, never as text. All of it is SQL.
+and pages meet it in one join, a host's on as many salts as it has `SALT_PAGES` pages. Lines travel as 96 bits of hashes, never as text.
+All of it is SQL.
 
 Nulls: a null or hostless url belongs to no site, all its lines stay; a null page has no lines. Order and
 repeats of the lines that stay are kept. Repeated rows count as pages. Empty in, empty out.
@@ -15,11 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import spread_join
 from ..session import staged
 
 RATIO = 0.3
-MIN_PAGES = 5
+SALT_PAGES = 8192
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 BLOCK = (
@@ -48,20 +48,25 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, dropped: the keys of its boilerplate lines; pages has host and lines."""
+def boilerplate(pages: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """host, total and dropped (the keys of its boilerplate lines); pages has host and lines."""
     sited = pages.where("host IS NOT NULL")
-    totals = sited.groupBy("host").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= min_pages)
+    totals = sited.groupBy("host").agg(F.count(F.lit(1)).alias("total")).where("total > 1")
     counts = sited.select("host", F.explode(F.array_distinct(F.transform("lines", _key))).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     often = counts.where("n > 1").join(totals, "host").where(F.col("n") > F.col("total") * ratio)
-    return often.groupBy("host").agg(F.collect_list("line").alias("dropped"))
+    return often.groupBy("host", "total").agg(F.collect_list("line").alias("dropped"))
 
 
-def without_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def without_boilerplate(pages: DataFrame, ratio: float = RATIO, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", salt_pages: int = SALT_PAGES) -> DataFrame:
     """page_id, host, n_lines, n_dropped, text: the lines that stay."""
-    # Lines are found once and written; a host's pages meet its list on several salts, as one host may hold most of them.
+    # Lines are found once and written.
     rows = staged(pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), lines_of(F.col(html_col)).alias("lines")), "page-lines")
-    rows = spread_join(rows, boilerplate(rows, ratio, min_pages), ["host"], ["page_id"], "left")
+    lists = staged(boilerplate(rows, ratio).withColumn("salts", F.ceil(F.col("total") / salt_pages).cast("int")), "page-lists")
+    # Hosts of several salts are one in `salt_pages` pages at most.
+    rows = rows.join(lists.where("salts > 1").select("host", "salts"), "host", "left")
+    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id", "lines"), "salts"), F.lit(0)).cast("int"))
+    lists = lists.select("host", "dropped", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    rows = rows.join(lists, ["host", "salt"], "left")
     kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line: ~F.array_contains("dropped", _key(line))))
     rows = rows.select("page_id", "host", F.size("lines").cast("bigint").alias("n_lines"), kept.alias("kept"))
     return rows.select("page_id", "host", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
