@@ -115,14 +115,15 @@ def test_a_large_group_of_near_copies_hands_on_few_pairs(spark, monkeypatch):
 
 
 def test_forests_leave_out_pairs_until_one_is_refuted():
-    fps, ids = [0, 1, 3, 7], [10, 11, 12, 13]
-    pairs, more = similar.run_pairs(fps, ids, ids, set(), 3, True)
+    fps, ids, sketches = [0, 1, 3, 7], [10, 11, 12, 13], np.zeros((4, 3), np.int64)
+    pairs, more = similar.run_pairs(fps, sketches, ids, ids, set(), 3, True)
     assert len(pairs) == 3 and more
-    again, _ = similar.run_pairs(fps, ids, ids, set(pairs), 3, True)
-    assert again and not set(again) & set(pairs)
-    every, more = similar.run_pairs(fps, ids, ids, set(pairs), 3, False)
-    assert len(every) == 3 and not more and not set(every) & set(pairs)
-    assert similar.run_pairs(fps, ids, [5, 5, 5, 5], set(), 3, True) == ([], False)
+    rest, more = similar.run_pairs(fps, sketches, ids, ids, set(pairs), 3, False)
+    assert len(rest) == 3 and not more and not set(rest) & set(pairs)
+    assert similar.run_pairs(fps, sketches, ids, [5, 5, 5, 5], set(), 3, True) == ([], False)
+    far = sketches.copy()
+    far[0] = -1
+    assert {x for p in similar.run_pairs(fps, far, ids, ids, set(), 3, False)[0] for x in p} == {11, 12, 13}
 
 
 def test_near_misses_are_refuted_and_hide_nothing(spark):

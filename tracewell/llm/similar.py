@@ -10,12 +10,13 @@ probability acos(2j / (1 + j)) / pi at most: 0.15 at 0.8. Classes grow in passes
    asked index shares no block with probability `MISS` at most, whatever the number of nodes (blocks widen with it, so
    that shards stay small).
 
-A shard hands on a spanning forest: a pair only where its two classes aren't connected yet by pairs it has handed on, so fewer pairs than
-members, never all pairs of a group of copies. Pairs whose fingerprints differ in over `SCREEN` of all bits are refuted, all others are compared by
-their shingles and link from `least` on. Classes are contracted. A shard that left out a pair and had one refuted is worked
-again with the classes as they are then, without its refuted pairs; after `FOREST_ROUNDS` such rounds it hands on one pair for every two
-classes, so near misses end in few rounds. It is done when no shard has a pair of different classes left that was neither
-confirmed nor refuted: the classes are those of all pairs that share a block and pass radius, screen and comparison.
+A row carries the next `SKETCH` fingerprints too, and a pair that differs in over `NEARBY` of all these bits is no candidate in this
+shard, so pairs by chance never leave it. A shard hands on a spanning forest: a pair only where its two classes aren't connected
+yet by pairs it has handed on, so fewer pairs than members, never all pairs of a group of copies. Pairs whose fingerprints differ in over
+`SCREEN` of all bits are refuted, all others are compared by their shingles and link from `least` on. Classes are contracted.
+A shard that left out a pair and had one refuted is worked once more, with the classes as they are then and all fingerprints in its rows: it
+hands on what differs in `NEARBY_ALL` of all bits at most and is left between different classes (near misses), so the classes are those
+of all pairs that share a block and pass radius, screens and comparison.
 
 Sets of four and five shingles are worse than the law (a bit differs with probability 0.19): 98 of 100 such pairs are found.
 A shard of any size is a sorted stream to one task, which holds its fingerprints (16 bytes and a tree node a member).
@@ -43,8 +44,9 @@ from .simhash import SEED, remixed, shingle_hashes, turn_links
 
 #: Pass 1: bits and fingerprints; pass 2: bits within a shard; the share of pairs at `least` that share no block; differing bits of all.
 NEAR, NEAR_TURNS, RADIUS, MISS, SCREEN = 3, 4, 16, 5e-4, 0.22
-#: Fingerprints that are worked first, and rounds in which a shard hands on a forest.
-FIRST_TURNS, FOREST_ROUNDS = 6, 2
+#: Fingerprints that are worked first; how many others a shard compares, and the share of bits in which they may differ;
+#: the share where all fingerprints are compared (four deviations from the law at 0.8).
+FIRST_TURNS, SKETCH, NEARBY, NEARBY_ALL = 6, 3, 0.2, 0.2
 PROPOSED = "combo bigint, masked bigint, more boolean, a bigint, b bigint"
 LANES = np.uint64(0x0101010101010101)
 
@@ -141,31 +143,29 @@ class _Forest:
         return a != b
 
 
-def run_pairs(fps: list[int], ids: list[int], classes: list[int], refuted: set[tuple[int, int]], radius: int, forest: bool) -> tuple[list[tuple[int, int]], bool]:
+def run_pairs(fps: list[int], sketches: np.ndarray, ids: list[int], classes: list[int], refuted: set[tuple[int, int]], radius: int, forest: bool) -> tuple[list[tuple[int, int]], bool]:
     """Pairs of ids of different classes within the radius, and whether others were left out for them.
 
-    With `forest`, pairs that connect all classes that can be connected, else one pair for every two classes. The largest
-    class is only looked up in.
+    With `forest`, pairs that connect all classes that can be connected, else all that aren't refuted. The largest class is only looked up in.
     """
     large, n = Counter(classes).most_common(1)[0]
     if n == len(classes):
         return [], False
-    tree, order, pairs, more, links, seen = BKTree(radius), [], [], False, _Forest(), set()
+    tree, order, pairs, more, links = BKTree(radius), [], [], False, _Forest()
+    most = int(64 * (1 + sketches.shape[1]) * (NEARBY if forest else NEARBY_ALL))
     for i in sorted(range(len(fps)), key=lambda i: classes[i] != large):
         if classes[i] != large:
-            for at in tree.near(fps[i]):
-                j = order[at]
-                if classes[j] == classes[i]:
-                    continue
-                pair = (min(ids[i], ids[j]), max(ids[i], ids[j]))
-                if pair in refuted:
-                    continue
-                two = (min(classes[i], classes[j]), max(classes[i], classes[j]))
-                if links.joined(*two) if forest else two not in seen:
-                    pairs.append(pair)
-                else:
-                    more = True
-                seen.add(two)
+            near = [j for j in map(order.__getitem__, tree.near(fps[i])) if classes[j] != classes[i]]
+            if near:
+                apart = np.bitwise_count(sketches[near] ^ sketches[i]).sum(axis=1)
+                for j, bits in zip(near, apart.tolist(), strict=True):
+                    pair = (min(ids[i], ids[j]), max(ids[i], ids[j]))
+                    if bits + (fps[i] ^ fps[j]).bit_count() > most or pair in refuted:
+                        continue
+                    if not forest or links.joined(classes[i], classes[j]):
+                        pairs.append(pair)
+                    else:
+                        more = True
         tree.add(fps[i])
         order.append(i)
     return pairs, more
@@ -183,12 +183,12 @@ def _shards(batches: Iterator[pd.DataFrame], radius: int, forest: bool) -> Itera
             member = run[:, 5] == 1
             refuted = set(map(tuple, run[~member, 2:4].tolist()))
             run = run[member]
-            pairs, more = run_pairs(run[:, 2].copy().view(np.uint64).tolist(), run[:, 3].tolist(), run[:, 4].tolist(), refuted, radius, forest) if len(run) > 1 else ([], False)
+            pairs, more = run_pairs(run[:, 2].copy().view(np.uint64).tolist(), run[:, 6:], run[:, 3].tolist(), run[:, 4].tolist(), refuted, radius, forest) if len(run) > 1 else ([], False)
             found += [(rows[at[i], 0], rows[at[i], 1], more, a, b) for a, b in pairs]
         return pd.DataFrame(found, columns=["combo", "masked", "more", "a", "b"]).astype({"combo": "int64", "masked": "int64", "more": "bool", "a": "int64", "b": "int64"})
 
     for batch in batches:
-        rows = batch[columns].to_numpy(np.int64)
+        rows = batch[[*columns, *[c for c in batch.columns if c not in columns]]].to_numpy(np.int64)
         if not len(rows):
             continue
         if held and (rows[0, :2] == held[-1][-1, :2]).all() and (rows[0, :2] == rows[-1, :2]).all():
@@ -203,44 +203,45 @@ def _shards(batches: Iterator[pd.DataFrame], radius: int, forest: bool) -> Itera
         yield out(np.concatenate(held))
 
 
-def members(nodes: DataFrame, first: int, turns: int, width: int) -> DataFrame:
-    """A row per node and block (combo, masked) of its fingerprints `first` …; nodes has id, fps, class."""
+def members(nodes: DataFrame, first: int, turns: int, width: int, sketch: int) -> DataFrame:
+    """A row per node and block (combo, masked) of its fingerprints `first` …, with the fingerprints after it; nodes has id, fps, class."""
     per = 64 // width
-    prints = nodes.select("id", "class", F.posexplode(F.slice("fps", first + 1, turns)).alias("turn", "fp"))
+    prints = nodes.select("id", "class", "fps", F.posexplode(F.slice("fps", first + 1, turns)).alias("turn", "fp"))
+    after = [F.get("fps", F.pmod(F.col("turn") + first + 1 + i, F.size("fps"))).alias(f"s{i}") for i in range(sketch)]
+    prints = prints.select("id", "class", "turn", "fp", *after)
     blocks = F.array(*[
         F.struct(((F.col("turn") + first) * per + i).cast("bigint").alias("combo"), F.shiftright("fp", i * width).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).alias("masked"))
         for i in range(per)])
-    return prints.select(F.explode(blocks).alias("k"), "fp", "id", "class").select("k.combo", "k.masked", "fp", "id", "class", F.lit(1).cast("bigint").alias("member"))
+    rows = prints.withColumn("k", F.explode(blocks))
+    return rows.select("k.combo", "k.masked", "fp", "id", "class", F.lit(1).cast("bigint").alias("member"), *[f"s{i}" for i in range(sketch)])
 
 
-def linked(nodes: DataFrame, texts: DataFrame, known: DataFrame, first: int, turns: int, width: int, shingle: int, least: float, radius: int = RADIUS) -> DataFrame:
+def linked(nodes: DataFrame, texts: DataFrame, known: DataFrame, first: int, turns: int, total: int, width: int, shingle: int, least: float, radius: int = RADIUS) -> DataFrame:
     """Confirmed links (a, b): those `known`, and enough to connect all pairs that share a block of the fingerprints `first` …"""
-    arrow_rows(nodes.sparkSession, 20_000)
-    refuted, active, round_ = None, None, 0
     links, classed = Rounds(nodes.sparkSession, "similar-links"), Rounds(nodes.sparkSession, "similar-classed")
-    while True:
+
+    def work(known: DataFrame, forest: bool, bad: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        sketch = SKETCH if forest else total - 1
         classes = components(known).select("id", F.col("component").alias("class"))
-        now = classed.put(nodes.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")))
-        rows = members(now, first, turns, width)
-        if active is not None:
-            rows = rows.join(active, ["combo", "masked"], "left_semi").unionByName(refuted)
+        rows = members(classed.put(nodes.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))), first, turns, width, sketch)
+        if bad is not None:
+            # Refuted pairs go with the rows of their shard.
+            none = [F.lit(0).cast("bigint").alias(c) for c in ("class", "member", *[f"s{i}" for i in range(sketch)])]
+            active = bad.where("more").select("combo", "masked").distinct()
+            rows = rows.unionByName(bad.select("combo", "masked", F.col("a").alias("fp"), F.col("b").alias("id"), *none)).join(active, ["combo", "masked"], "left_semi")
         rows = rows.repartition("combo", "masked").sortWithinPartitions("combo", "masked")
         arrow_rows(nodes.sparkSession, 20_000)
-        forest = round_ < FOREST_ROUNDS
-        found = staged(rows.mapInPandas(lambda batches, forest=forest: _shards(batches, radius, forest), PROPOSED), "similar-proposed")
+        found = staged(rows.mapInPandas(lambda batches: _shards(batches, radius, forest), PROPOSED), "similar-proposed")
         judged = confirmed(found, nodes, texts, shingle, least)
         known = links.put(known.unionByName(judged.where("good").select("a", "b")))
-        bad = found.join(judged.where("NOT good").select("a", "b"), ["a", "b"])
-        bad = bad.select("combo", "masked", F.col("a").alias("fp"), F.col("b").alias("id"), F.lit(0).cast("bigint").alias("class"), F.lit(0).cast("bigint").alias("member"), "more")
-        bad = staged(bad, "similar-refuted")
-        active = bad.where("more").select("combo", "masked").distinct()
-        if not bad.where("more").head(1):
-            classed.clear()
-            return known
-        # Shards worked again need all their refuted pairs, of this round and of those before.
-        bad = bad.drop("more")
-        refuted = staged((bad if refuted is None else refuted.unionByName(bad)).join(active, ["combo", "masked"], "left_semi"), "similar-refuted")
-        round_ += 1
+        return known, found.join(judged.where("NOT good").select("a", "b"), ["a", "b"])
+
+    known, bad = work(known, True)
+    bad = staged(bad, "similar-refuted")
+    if bad.where("more").head(1):
+        known, _ = work(known, False, bad)
+    classed.clear()
+    return known
 
 
 def groups(docs: DataFrame, shingle: int, least: float, id_col: str, text_col: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -255,6 +256,6 @@ def groups(docs: DataFrame, shingle: int, least: float, id_col: str, text_col: s
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
     known = confirmed(near, nodes, texts, shingle, least).where("good").select("a", "b")
     turns, width = turns_for(n, least), width_of(n)
-    known = linked(nodes, texts, known, 0, FIRST_TURNS, width, shingle, least)
-    known = linked(nodes, texts, known, FIRST_TURNS, turns - FIRST_TURNS, width, shingle, least)
+    known = linked(nodes, texts, known, 0, FIRST_TURNS, turns, width, shingle, least)
+    known = linked(nodes, texts, known, FIRST_TURNS, turns - FIRST_TURNS, turns, width, shingle, least)
     return prints.join(named, same).select("key", *keep, F.col("id").alias("node")), components(known)
