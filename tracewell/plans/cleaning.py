@@ -91,18 +91,18 @@ SELECT language AS of, gram, ln(n / sum(n) OVER (PARTITION BY language)) AS log_
 FROM (SELECT language, gram, count(*) AS n FROM lang_grams WHERE ord % 2 = 0 AND language IS NOT NULL GROUP BY ALL)
 """)
 cte("lang_found", """
-SELECT ord, arg_max(of, score) AS found FROM (SELECT ord, of, sum(log_p + 14) AS score FROM lang_grams JOIN lang_profiles USING (gram) WHERE ord % 2 = 1 GROUP BY ALL) GROUP BY ord
+SELECT ord, arg_max(of, score) AS found FROM (SELECT ord, of, sum(log_p + 14) AS score FROM lang_grams JOIN lang_profiles USING (gram) GROUP BY ALL) GROUP BY ord
 """)
 
 
 @query("clean_language_fill", "CLN-8", sql="""
 SELECT r.language AS given, CASE WHEN length(r.content) >= 12 THEN f.found END AS language, count(*) AS n
-FROM clean_reviews r LEFT JOIN lang_found f USING (ord) WHERE r.ord % 2 = 1 GROUP BY ALL
+FROM clean_reviews r LEFT JOIN lang_found f USING (ord) GROUP BY ALL
 """)
 def _(t):
     rows = clean.normalize_reviews(t.reviews).select("ord", "run_id", "language", "content_original")
     profiles = clean.fit_language_profiles(rows.where("ord % 2 = 0"))
-    unknown = rows.where("ord % 2 = 1").withColumn("given", F.col("language")).withColumn("language", F.lit(None).cast("string"))
+    unknown = rows.withColumn("given", F.col("language")).withColumn("language", F.lit(None).cast("string"))
     return clean.fill_language(unknown, profiles).groupBy("given", "language").agg(F.count("*").alias("n"))
 
 
