@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import clean, inference as inf
+from ..operators import clean, inference as inf, model_chain as mc
 from ..session import stage_path, staged
 from ..sources import feeds, keyed, reviews as rv, sinks
 from .cleaning import batched
@@ -374,3 +374,142 @@ def _(t):
     usage = priced(t).withColumn("run_id", F.concat(F.lit("src"), F.col("run_id") % 20))
     runs, _day = budget_status(usage, 0.2, 0, datetime(2024, 1, 30))
     return inf.allow_within_budget(requests(t), runs).select("run_id", "batch")
+
+
+# ---- the dependent job of five request kinds, answered by rules that SQL can follow ----
+
+
+def answer(kind):
+    """A stand-in for a model: answers follow from the prompt by rule; every fifth consolidation fails."""
+    import json
+
+    def texts(systems, users):
+        out = []
+        for user in users:
+            said = json.loads(user)
+            if kind == "batch":
+                ids = [r["review_id"] for r in said["reviews"]]
+                out.append({"findings": [{"title": f"{len(ids)} reviews", "problem_statement": "p", "topic_label": "L", "topic_key": "k", "supporting_review_ids": [*ids[:2], "x9"],
+                                          "conflicting_review_ids": ids[-1:], "reasoning_summary": "r", "limitations": []}]})
+            elif kind == "consolidation":
+                if int(said["analysis_goal"].removeprefix("goal src")) % 5 == 4:
+                    raise TimeoutError("busy")
+                out.append({"findings": said["candidate_findings"][:3]})
+            elif kind == "audit":
+                role = lambda e: "irrelevant" if e["rating"] == 3 else "supporting"
+                out.append({"findings": [{"finding_index": c["finding_index"], "assessments": [{"review_id": e["review_id"], "role": role(e), "rationale_zh": "因"} for e in c["evidence"]]}
+                                         for c in said["candidate_findings"]]})
+            elif kind == "requirements":
+                out.append({"requirements": [{"finding_ids": [f["finding_id"]], "title": f["title"], "impact": 1 + n, "complexity": "low", "proposed_version": "V1.0"}
+                                             for n, f in enumerate(said["findings"])]})
+            else:
+                out.append({"test_cases": [{"title": f"{said['title']} / {k}", "steps": ["s"], "case_type": k} for k in ("normal", "boundary")]})
+        return [json.dumps(x, ensure_ascii=False) for x in out]
+
+    return texts
+
+
+class ModelChain:
+    """All five kinds over all runs, each written once."""
+
+    def __init__(self, t):
+        m = mc.Model(lambda kind: answer(kind), {k: f"Do {k}." for k in inf.SCHEMAS}, batch=1)
+        content = clean.normalize_reviews(t.reviews)
+        self.reviews = staged(batched(t).select("run_id", "ord", "batch").join(
+            content.select("ord", "review_id", "rating", F.col("content_original").alias("content")), "ord"), "chain-reviews")
+        self.goals = self.reviews.select("run_id").distinct().withColumn("goal", F.concat(F.lit("goal "), "run_id"))
+        self.model = m
+
+    def step(self, requests, kind):
+        return mc.readable(self.model.ask(requests, kind), kind)
+
+    def consolidation(self):
+        good, _ = self.step(mc.batch_requests(self.reviews, self.goals), "batch")
+        return mc.consolidation_requests(mc.candidates(good), self.reviews, self.goals)
+
+    def findings(self):
+        good, bad = self.step(self.consolidation(), "consolidation")
+        return staged(mc.consolidated(good), "chain-findings"), bad
+
+    def audits(self, findings):
+        good, _ = self.step(mc.audit_requests(findings, self.reviews, self.goals), "audit")
+        return mc.audit_rows(good)
+
+    def plans(self, findings):
+        """Findings with support after the audit go on; requirements and tests follow."""
+        held = self.audits(findings).where("role = 'supporting'").groupBy("run_id", "finding_index").agg(F.count("*").alias("n"))
+        rows = findings.join(held, ["run_id", "finding_index"], "left").select(
+            "run_id", "finding_index", F.format_string("F-%03d", F.col("finding_index") + 1).alias("finding_id"), F.col("f.title").alias("title"),
+            F.when(F.col("n") > 0, "supported").otherwise("rejected").alias("evidence_status"))
+        good, _ = self.step(mc.requirement_requests(rows, self.goals, ["finding_id", "title"]), "requirements")
+        return mc.requirement_rows(good)
+
+    def tests(self, drafts):
+        good, _ = self.step(mc.test_requests(drafts, ["run_id", "draft_no"], ["title", "impact"]), "tests")
+        return mc.test_rows(good, ["run_id", "draft_no"])
+
+
+cte("chain_items", """
+SELECT run_id, batch, c.ord, c.review_id, c.rating, c.content, row_number() OVER (PARTITION BY run_id, batch ORDER BY c.ord) AS n, count(*) OVER (PARTITION BY run_id, batch) AS size
+FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ord) - 1 AS row_index FROM clean_reviews) c JOIN packed p USING (run_id, row_index)
+""")
+cte("chain_candidates", """
+SELECT run_id, batch, any_value(size) AS size, list_append(list(review_id ORDER BY n) FILTER (n <= 2), 'x9') AS supporting, list(review_id) FILTER (n = size) AS conflicting FROM chain_items GROUP BY run_id, batch
+""")
+cte("model_findings", """
+SELECT run_id, CAST(batch AS INTEGER) AS finding_index, size || ' reviews' AS title, supporting, conflicting FROM chain_candidates
+WHERE batch < 3 AND CAST(regexp_extract(run_id, '([0-9]+)$', 1) AS INTEGER) % 5 <> 4
+""")
+cte("chain_cited", """
+SELECT run_id, finding_index, review_id, min(pos) AS pos FROM (
+  SELECT run_id, finding_index, unnest(list_concat(supporting, conflicting)) AS review_id, unnest(range(len(supporting) + len(conflicting))) AS pos FROM model_findings) GROUP BY ALL
+""")
+cte("chain_audits", """
+SELECT c.run_id, c.finding_index, c.review_id, CASE WHEN i.rating = 3 THEN 'irrelevant' ELSE 'supporting' END AS role,
+       row_number() OVER (PARTITION BY c.run_id, c.finding_index ORDER BY c.pos) - 1 AS n
+FROM chain_cited c JOIN chain_items i ON i.run_id = c.run_id AND i.review_id = c.review_id
+""")
+cte("chain_plans", """
+SELECT f.run_id, row_number() OVER (PARTITION BY f.run_id ORDER BY finding_index) - 1 AS draft_no, printf('F-%03d', finding_index + 1) AS finding_id, title
+FROM model_findings f WHERE EXISTS (SELECT 1 FROM chain_audits a WHERE a.run_id = f.run_id AND a.finding_index = f.finding_index AND role = 'supporting')
+""")
+
+
+@query("infer_consolidation_requests", "INF-1", sql="""
+SELECT run_id, length(u) AS chars, substr(sha256(u), 1, 16) AS digest FROM (
+  SELECT c.run_id, CAST(to_json({'analysis_goal': 'goal ' || c.run_id, 'candidate_findings': c.l, 'evidence_reviews': e.l}) AS VARCHAR) AS u
+  FROM (SELECT run_id, list({'title': size || ' reviews', 'problem_statement': 'p', 'topic_label': 'L', 'topic_key': 'k', 'supporting_review_ids': supporting,
+               'conflicting_review_ids': conflicting, 'reasoning_summary': 'r', 'limitations': CAST([] AS VARCHAR[])} ORDER BY batch) AS l FROM chain_candidates GROUP BY run_id) c
+  JOIN (SELECT run_id, list({'review_id': review_id, 'rating': rating, 'content': content} ORDER BY ord) AS l FROM chain_items WHERE n <= 2 OR n = size GROUP BY run_id) e USING (run_id))
+""")
+def _(t):
+    return ModelChain(t).consolidation().select("run_id", F.length("user").alias("chars"), X.sha("user", 16).alias("digest"))
+
+
+@query("infer_chain_failures", "INF-3", sql="""
+SELECT DISTINCT run_id, 'TimeoutError' AS reason FROM chain_candidates WHERE CAST(regexp_extract(run_id, '([0-9]+)$', 1) AS INTEGER) % 5 = 4
+""")
+def _(t):
+    return ModelChain(t).findings()[1].select("run_id", "reason")
+
+
+@query("infer_audit_rows", "INF-1", "INF-5", sql="SELECT run_id, finding_index, review_id, role, CAST(finding_index * 2147483648 + n AS BIGINT) AS pos FROM chain_audits")
+def _(t):
+    chain = ModelChain(t)
+    return chain.audits(chain.findings()[0]).select("run_id", "finding_index", "review_id", "role", "pos")
+
+
+@query("infer_requirement_rows", "INF-1", "INF-5", sql="SELECT run_id, CAST(draft_no AS INTEGER) AS draft_no, title, CAST(draft_no + 1 AS INTEGER) AS impact, finding_id FROM chain_plans")
+def _(t):
+    chain = ModelChain(t)
+    drafts, links = chain.plans(chain.findings()[0])
+    return drafts.join(links, ["run_id", "draft_no"]).select("run_id", "draft_no", "title", "impact", "finding_id")
+
+
+@query("infer_test_rows", "INF-1", "INF-5", sql="""
+SELECT run_id, CAST(draft_no AS INTEGER) AS draft_no, CAST(i AS INTEGER) AS pos, title || ' / ' || k AS title, k AS case_type FROM chain_plans, (VALUES (0, 'normal'), (1, 'boundary')) v(i, k)
+""")
+def _(t):
+    chain = ModelChain(t)
+    drafts, _ = chain.plans(chain.findings()[0])
+    return chain.tests(drafts).select("run_id", "draft_no", "pos", "title", "case_type")
