@@ -10,12 +10,12 @@ probability acos(2j / (1 + j)) / pi at most: 0.15 at 0.8. Classes grow in passes
    asked index shares no block with probability `MISS` at most, whatever the number of nodes (blocks widen with it, so
    that shards stay small).
 
-A row carries the next `SKETCH` fingerprints too, and a pair that differs in over `NEARBY` of all these bits is no candidate in this
+A row carries the next fingerprint too (`SKETCH`), and a pair that differs in over `NEARBY` of all these bits is no candidate in this
 shard, so pairs by chance never leave it. A shard hands on a spanning forest: a pair only where its two classes aren't connected
 yet by pairs it has handed on, so fewer pairs than members, never all pairs of a group of copies. Pairs whose fingerprints differ in over
 `SCREEN` of all bits are refuted, all others are compared by their shingles and link from `least` on. Classes are contracted.
-A shard that left out a pair and had one refuted is worked once more, with the classes as they are then and all fingerprints in its rows: it
-hands on what differs in `NEARBY_ALL` of all bits at most and is left between different classes (near misses), so the classes are those
+A shard that left out a pair names its members; if one of its pairs was refuted, it is worked once more from these, with the classes as they
+are then and all fingerprints in its rows: it hands on what differs in `NEARBY_ALL` of all bits at most and is left between different classes (near misses), so the classes are those
 of all pairs that share a block and pass radius, screens and comparison.
 
 Sets of four and five shingles are worse than the law (a bit differs with probability 0.19): 98 of 100 such pairs are found.
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Rounds, staged
@@ -46,8 +46,9 @@ from .simhash import SEED, remixed, shingle_hashes, turn_links
 NEAR, NEAR_TURNS, RADIUS, MISS, SCREEN = 3, 4, 16, 5e-4, 0.22
 #: Fingerprints that are worked first; how many others a shard compares, and the share of bits in which they may differ;
 #: the share where all fingerprints are compared (four deviations from the law at 0.8).
-FIRST_TURNS, SKETCH, NEARBY, NEARBY_ALL = 6, 3, 0.2, 0.2
-PROPOSED = "combo bigint, masked bigint, more boolean, a bigint, b bigint"
+FIRST_TURNS, SKETCH, NEARBY, NEARBY_ALL = 6, 1, 0.2, 0.2
+#: Pairs (a, b), and the members (a) of shards that left out pairs.
+PROPOSED = "combo bigint, masked bigint, more boolean, a bigint, b bigint, member boolean"
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -183,9 +184,12 @@ def _shards(batches: Iterator[pd.DataFrame], radius: int, forest: bool) -> Itera
             member = run[:, 5] == 1
             refuted = set(map(tuple, run[~member, 2:4].tolist()))
             run = run[member]
-            pairs, more = run_pairs(run[:, 2].copy().view(np.uint64).tolist(), run[:, 6:], run[:, 3].tolist(), run[:, 4].tolist(), refuted, radius, forest) if len(run) > 1 else ([], False)
-            found += [(rows[at[i], 0], rows[at[i], 1], more, a, b) for a, b in pairs]
-        return pd.DataFrame(found, columns=["combo", "masked", "more", "a", "b"]).astype({"combo": "int64", "masked": "int64", "more": "bool", "a": "int64", "b": "int64"})
+            pairs, more = run_pairs(run[:, 2].copy().view(np.uint64).tolist(), run[:, 6:], run[:, 3].tolist(), (run[:, 4] ^ run[:, 3]).tolist(), refuted, radius, forest) if len(run) > 1 else ([], False)
+            found += [(rows[at[i], 0], rows[at[i], 1], more, a, b, False) for a, b in pairs]
+            if more:
+                found += [(rows[at[i], 0], rows[at[i], 1], True, a, a, True) for a in run[:, 3].tolist()]
+        return pd.DataFrame(found, columns=["combo", "masked", "more", "a", "b", "member"]).astype(
+            {"combo": "int64", "masked": "int64", "more": "bool", "a": "int64", "b": "int64", "member": "bool"})
 
     for batch in batches:
         rows = batch[[*columns, *[c for c in batch.columns if c not in columns]]].to_numpy(np.int64)
@@ -203,44 +207,58 @@ def _shards(batches: Iterator[pd.DataFrame], radius: int, forest: bool) -> Itera
         yield out(np.concatenate(held))
 
 
-def members(nodes: DataFrame, first: int, turns: int, width: int, sketch: int) -> DataFrame:
+def _after(turn: Column, n: int) -> list[Column]:
+    """The n fingerprints behind that of a turn."""
+    return [F.get("fps", F.pmod(turn + 1 + i, F.size("fps")).cast("int")).alias(f"s{i}") for i in range(n)]
+
+
+def _class() -> Column:
+    """The class as its difference to the id: zero for most nodes."""
+    return F.expr("class ^ id").alias("class")
+
+
+def members(nodes: DataFrame, first: int, turns: int, width: int) -> DataFrame:
     """A row per node and block (combo, masked) of its fingerprints `first` …, with the fingerprints after it; nodes has id, fps, class."""
     per = 64 // width
-    prints = nodes.select("id", "class", "fps", F.posexplode(F.slice("fps", first + 1, turns)).alias("turn", "fp"))
-    after = [F.get("fps", F.pmod(F.col("turn") + first + 1 + i, F.size("fps"))).alias(f"s{i}") for i in range(sketch)]
-    prints = prints.select("id", "class", "turn", "fp", *after)
+    prints = nodes.select("id", _class(), "fps", F.posexplode(F.slice("fps", first + 1, turns)).alias("turn", "fp"))
+    prints = prints.select("id", "class", "turn", "fp", *_after(F.col("turn") + first, SKETCH))
     blocks = F.array(*[
         F.struct(((F.col("turn") + first) * per + i).cast("bigint").alias("combo"), F.shiftright("fp", i * width).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).alias("masked"))
         for i in range(per)])
     rows = prints.withColumn("k", F.explode(blocks))
-    return rows.select("k.combo", "k.masked", "fp", "id", "class", F.lit(1).cast("bigint").alias("member"), *[f"s{i}" for i in range(sketch)])
+    return rows.select("k.combo", "k.masked", "fp", "id", "class", F.lit(1).cast("bigint").alias("member"), *[f"s{i}" for i in range(SKETCH)])
 
 
 def linked(nodes: DataFrame, texts: DataFrame, known: DataFrame, first: int, turns: int, total: int, width: int, shingle: int, least: float, radius: int = RADIUS) -> DataFrame:
     """Confirmed links (a, b): those `known`, and enough to connect all pairs that share a block of the fingerprints `first` …"""
-    links, classed = Rounds(nodes.sparkSession, "similar-links"), Rounds(nodes.sparkSession, "similar-classed")
+    spark, per = nodes.sparkSession, 64 // width
+    links, classed, tables = (Rounds(spark, f"similar-{name}") for name in ("links", "classed", "proposed"))
 
-    def work(known: DataFrame, forest: bool, bad: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        sketch = SKETCH if forest else total - 1
+    def with_class() -> DataFrame:
         classes = components(known).select("id", F.col("component").alias("class"))
-        rows = members(classed.put(nodes.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))), first, turns, width, sketch)
-        if bad is not None:
-            # Refuted pairs go with the rows of their shard.
-            none = [F.lit(0).cast("bigint").alias(c) for c in ("class", "member", *[f"s{i}" for i in range(sketch)])]
-            active = bad.where("more").select("combo", "masked").distinct()
-            rows = rows.unionByName(bad.select("combo", "masked", F.col("a").alias("fp"), F.col("b").alias("id"), *none)).join(active, ["combo", "masked"], "left_semi")
+        return classed.put(nodes.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")))
+
+    def work(rows: DataFrame, forest: bool) -> tuple[DataFrame, DataFrame]:
         rows = rows.repartition("combo", "masked").sortWithinPartitions("combo", "masked")
-        arrow_rows(nodes.sparkSession, 20_000)
-        found = staged(rows.mapInPandas(lambda batches: _shards(batches, radius, forest), PROPOSED), "similar-proposed")
-        judged = confirmed(found, nodes, texts, shingle, least)
-        known = links.put(known.unionByName(judged.where("good").select("a", "b")))
-        return known, found.join(judged.where("NOT good").select("a", "b"), ["a", "b"])
+        arrow_rows(spark, 20_000)
+        found = tables.put(rows.mapInPandas(lambda batches: _shards(batches, radius, forest), PROPOSED))
+        return found, confirmed(found.where("NOT member"), nodes, texts, shingle, least)
 
-    known, bad = work(known, True)
+    found, judged = work(members(with_class(), first, turns, width), True)
+    known = links.put(known.unionByName(judged.where("good").select("a", "b")))
+    bad = found.where("more AND NOT member").join(judged.where("NOT good").select("a", "b"), ["a", "b"]).select("combo", "masked", "a", "b")
     bad = staged(bad, "similar-refuted")
-    if bad.where("more").head(1):
-        known, _ = work(known, False, bad)
+    if bad.head(1):
+        again = found.where("member").select("combo", "masked", F.col("a").alias("id")).join(bad.select("combo", "masked").distinct(), ["combo", "masked"], "left_semi")
+        turn = F.expr(f"combo div {per}")
+        rows = again.join(with_class(), "id").select("combo", "masked", F.get("fps", turn.cast("int")).alias("fp"), "id", _class(), F.lit(1).cast("bigint").alias("member"), *_after(turn, total - 1))
+        # Refuted pairs go with the rows of their shard.
+        none = [F.lit(0).cast("bigint").alias(c) for c in ("class", "member", *[f"s{i}" for i in range(total - 1)])]
+        rows = rows.unionByName(bad.select("combo", "masked", F.col("a").alias("fp"), F.col("b").alias("id"), *none))
+        _, judged = work(rows, False)
+        known = links.put(known.unionByName(judged.where("good").select("a", "b")))
     classed.clear()
+    tables.clear()
     return known
 
 
