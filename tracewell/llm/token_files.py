@@ -44,6 +44,7 @@ KEYS_PER_BUCKET = 4096
 KNOWN_WORDS = 300_000
 #: Punctuation that may be parted from the letters before it (no apostrophe: it can begin a group with letters).
 TAIL = ".,;:!?*#$%&"
+BEHIND = rf"([a-z])([{TAIL}]+)( |$)"
 
 PAGES = "shard int, page int, doc_ids array<bigint>, ends array<int>, ids binary"
 INDEX = "bucket bigint, n int, sizes array<int>, bits binary, prints binary, shard binary, offset binary, length binary, docs binary"
@@ -126,7 +127,9 @@ class Encoder:
 
         Each distinct stretch of the texts is looked at once; its ids are then gathered by position.
         """
-        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        # The tokenizer folds case; capitals A-Z and punctuation behind a letter would only make more stretches distinct.
+        plain = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+        cut = pc.split_pattern(pc.replace_substring_regex(plain, BEHIND, r"\1 \2\3"), " ")
         coded = cut.flatten().dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
