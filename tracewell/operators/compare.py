@@ -69,3 +69,45 @@ def canonical_diff(a: DataFrame, b: DataFrame, keys: list[str], volatile: list[s
         F.when(F.col("b").isNotNull(), "present").alias("after"),
     )
     return changed.select(*keys, "c.field", "c.before", "c.after").unionByName(one_sided)
+
+
+# ---- row detail, by a tree of digests over ranges of key hashes ----
+
+#: Hexadecimal digits of a key's hash that name a range; a node of level l is a prefix of l digits.
+LEAF_DIGITS = 3
+
+
+def _ranges(df: DataFrame, keys: list[str]) -> DataFrame:
+    columns = sorted(df.columns)
+    key_hash = F.sha2(row_text(df, keys).cast("binary"), 256)
+    return df.select(*keys, F.substring(key_hash, 1, LEAF_DIGITS).alias("leaf"), X.sha_int(row_text(df, columns)).alias("row_digest"))
+
+
+def _leaves(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.col("row_digest").cast("decimal(38,0)")).alias("digest"))
+
+
+def compare_tree(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """level, node, n_a, n_b and whether the rows below a node differ; level 0 is the whole table. One row a range leaves a side."""
+    left, right = _leaves(_ranges(a, keys)), _leaves(_ranges(b, keys))
+    both = left.select("leaf", F.col("n").alias("n_a"), F.col("digest").alias("da")).join(right.select("leaf", F.col("n").alias("n_b"), F.col("digest").alias("db")), "leaf", "full")
+    zero = both.fillna(0, ["n_a", "n_b"]).withColumns({d: F.coalesce(d, F.lit(0).cast("decimal(38,0)")) for d in ("da", "db")})
+    at = zero.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEAF_DIGITS)))).withColumn("node", F.substring(F.col("leaf"), F.lit(1), F.col("level")))
+    differs = (F.col("n_a") != F.col("n_b")) | (F.col("da") != F.col("db"))
+    return at.withColumn("differs", differs).groupBy("level", "node").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.bool_or("differs").alias("differs"))
+
+
+def compare_rows(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose rows differ: changed, missing (in b) or extra. Only rows of ranges that differ are joined; a key may have several rows."""
+    if sorted(a.columns) != sorted(b.columns):
+        raise ValueError("the tables have different columns")
+    left, right = _ranges(a, keys), _ranges(b, keys)
+    # At most 4,096 ranges.
+    ranges = F.broadcast(compare_tree(a, b, keys).where((F.col("level") == LEAF_DIGITS) & F.col("differs")).select(F.col("node").alias("leaf")))
+    side = lambda rows, s: rows.join(ranges, "leaf", "left_semi").groupBy(*keys).agg(
+        F.count("*").alias(f"n_{s}"), F.sum(F.col("row_digest").cast("decimal(38,0)")).alias(f"d_{s}"))
+    x, y = side(left, "a").alias("x"), side(right, "b").alias("y")
+    both = x.join(y, reduce(lambda p, q: p & q, [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]), "full")
+    change = F.when(F.col("n_b").isNull(), "missing").when(F.col("n_a").isNull(), "extra").when((F.col("n_a") != F.col("n_b")) | (F.col("d_a") != F.col("d_b")), "changed")
+    named = [F.coalesce(F.col(f"x.{k}"), F.col(f"y.{k}")).alias(k) for k in keys]
+    return both.select(*named, change.alias("change")).where("change is not null")

@@ -119,6 +119,17 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+@query("log_streamed", "SNK-6", sql="SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type")
+def _(t):
+    """Two runs over one checkpoint, the second with new files: every row once."""
+    inbox, path, checkpoint = (stage_path(t.spark, name) for name in ("log-inbox", "log", "log-checkpoint"))
+    e = t.raw("events").select("event_id", "event_type")
+    for rest in (0, 1):
+        e.where(F.col("event_id") % 2 == rest).write.mode("append").parquet(inbox)
+        sinks.stream_log(t.spark.readStream.schema(e.schema).parquet(inbox), path, checkpoint, "event_type").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query("stream_corpus", "STR-1", "STR-2", sql="""
 SELECT review_id, chars, CAST(CAST(rating AS DOUBLE) AS INTEGER) AS rating FROM landed_rows
 WHERE chars IS NOT NULL AND NOT bad_date AND rating NOT IN ('2.5', '9', 'true') AND review_id LIKE 'd%'

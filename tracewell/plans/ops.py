@@ -410,6 +410,31 @@ def _(t):
     })
 
 
+def restored(t):
+    """A copy of the orders with changed, missing and extra rows."""
+    o, k = t.raw("orders"), F.col("o_orderkey")
+    kept = o.where(k % 1000 != 4).withColumn("o_totalprice", F.when(k % 1000 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return o, kept.unionByName(o.where(k % 1000 == 5).withColumn("o_orderkey", -k))
+
+
+@query("compare_rows", "SET-2", sql="""
+SELECT o_orderkey, 'changed' AS change FROM orders WHERE o_orderkey % 1000 = 3 UNION ALL SELECT o_orderkey, 'missing' FROM orders WHERE o_orderkey % 1000 = 4
+UNION ALL SELECT -o_orderkey, 'extra' FROM orders WHERE o_orderkey % 1000 = 5
+""")
+def _(t):
+    return compare.compare_rows(*restored(t), ["o_orderkey"])
+
+
+@query("compare_tree", "SET-2", sql="""
+WITH k AS (
+  SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS h, 1 AS a, CASE WHEN o_orderkey % 1000 = 4 THEN 0 ELSE 1 END AS b, o_orderkey % 1000 IN (3, 4) AS d FROM orders
+  UNION ALL SELECT sha256(CAST(-o_orderkey AS VARCHAR)), 0, 1, true FROM orders WHERE o_orderkey % 1000 = 5)
+SELECT CAST(level AS INTEGER) AS level, left(h, level) AS node, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_b, bool_or(d) AS differs FROM k, range(4) r(level) GROUP BY ALL
+""")
+def _(t):
+    return compare.compare_tree(*restored(t), ["o_orderkey"])
+
+
 @query("canonical_diff", "SET-3", sql="""
 SELECT o_orderkey, 'o_orderstatus' AS field, o_orderstatus AS before, 'X' AS after FROM orders WHERE o_orderkey % 100 = 3
 UNION ALL SELECT o_orderkey, '*', 'present', NULL FROM orders WHERE o_orderkey % 100 = 4
