@@ -11,7 +11,7 @@ its sorted turns, which holds one part (`part_tokens`, at least one turn) at a t
 any length is a row of parts, each with the position it starts at.
 
 Nulls: a null text or role is empty. A null conversation id is a conversation, a null turn comes first.
-Repeated turns are turns; equal turn numbers go by role, then text. No rows in, no rows out.
+Repeated turns are turns; equal turn numbers go by role, then by a hash of the text. No rows in, no rows out.
 """
 
 from __future__ import annotations
