@@ -97,6 +97,19 @@ def list_by_status(runs: DataFrame, status: str, limit: int) -> DataFrame:
     return runs.where(F.col("status") == status).orderBy(F.desc("updated_at"), F.desc("run_id")).limit(limit)
 
 
+def maintain(runs, children: dict, heartbeats, days: int, now: datetime) -> dict[str, int]:
+    """Remove expired runs from stored tables (`sources.keyed`), their children and stale heartbeats with them; rows removed by table.
+
+    Tables are bucketed by run, heartbeats by owner: only buckets that hold something to remove are rewritten.
+    """
+    victims = expired_runs(runs.read(), days, now)
+    removed_rows = {name: table.delete_of(victims)[1] for name, table in children.items()}
+    removed_rows["heartbeats"] = heartbeats.delete(F.col("heartbeat_at") < ntz(now - timedelta(days=1)))[1]
+    # Runs last: until then a job that failed finds its victims again.
+    removed_rows["runs"] = runs.delete_of(victims)[1]
+    return removed_rows
+
+
 def recent_events(events: DataFrame, n: int = 6) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("id")))
     return events.withColumn("place", place).where(F.col("place") <= n)

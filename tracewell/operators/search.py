@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import staged
 from .project import allowed_platform
 
 K1, B, RARE = 1.2, 0.75, 1e-6  # fixed values of the ranking function
@@ -343,3 +344,29 @@ def backfill_embeddings(corpus: DataFrame, embeddings: DataFrame, embed, batch:
 
     made = missing.mapInPandas(run, "ord bigint, embedding array<float>")
     return embeddings.select("ord", "embedding").unionByName(made)
+
+
+def embed_missing(corpus: DataFrame, embeddings: DataFrame, embed, batch: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Vectors of all documents that have one now, and (ord, error) of those whose text the embedder refused.
+
+    What the embedder said is written once, so neither result asks it again. If it fails on several texts, each is tried alone:
+    one text that it can't take costs no other its vector, and the text index does not depend on any of them.
+    """
+    missing = corpus.join(embeddings.select("ord"), "ord", "left_anti").select("ord", "content")
+
+    def tried(texts: list[str]) -> list[tuple]:
+        try:
+            return [(vector, None) for vector in embed(texts)]
+        except Exception as error:  # noqa: BLE001 - the error becomes the row of its text
+            return [(None, type(error).__name__)] if len(texts) == 1 else [tried([text])[0] for text in texts]
+
+    def run(batches):
+        for pdf in batches:
+            for i in range(0, len(pdf), batch):
+                part = pdf.iloc[i : i + batch]
+                vectors, errors = zip(*tried(part["content"].tolist()), strict=True)
+                yield pd.DataFrame({"ord": part["ord"].to_numpy(), "embedding": list(vectors), "error": list(errors)})
+
+    made = staged(missing.mapInPandas(run, "ord bigint, embedding array<float>, error string"), "embedded")
+    good = made.where("error IS NULL").select("ord", "embedding")
+    return embeddings.select("ord", "embedding").unionByName(good), made.where("error IS NOT NULL").select("ord", "error")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from ..operators import compare, project, retention as rt, usage as us
+from ..session import stage_path
+from ..sources import keyed
 from .registry import cte, query
 from .sqlbase import half_even
 
@@ -264,6 +267,28 @@ def _(t):
     return rt.maintenance(t.run_events, t.reports, t.ops_runs, cache, NOW, keep_reports=5, days=900)
 
 
+@query("maintenance_rewritten", "WIN-10", sql=f"""
+SELECT "table", count(*) FILTER (NOT gone) AS kept, count(*) FILTER (gone) AS removed FROM (
+  SELECT 'runs' AS "table", run_id IN ({EXPIRED}) AS gone FROM ops_runs
+  UNION ALL SELECT 'lines', l_orderkey IN ({EXPIRED}) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+  UNION ALL SELECT 'usage', event_id IN ({EXPIRED}) FROM events
+  UNION ALL SELECT 'heartbeats', max(ts) < TIMESTAMP '2001-07-31' FROM events GROUP BY user_id) GROUP BY "table"
+""")
+def _(t):
+    """Stored tables by run; expired runs leave all of them, and what stays is read back."""
+    store = lambda rows, key, by: keyed.create(rows, stage_path(t.spark, "maintained"), key, [key], 32, by)
+    lines = t.raw("lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("line"), F.col("l_orderkey").alias("run_id"), "l_quantity")
+    runs = store(t.ops_runs.select("run_id", "status", "updated_at"), "run_id", None)
+    usage = store(t.raw("events").select("event_id", F.col("event_id").alias("run_id"), "value"), "event_id", "run_id")
+    beats = t.heartbeats.groupBy("owner").agg(F.max("heartbeat_at").alias("heartbeat_at"))
+    tables = {"lines": store(lines, "line", "run_id"), "usage": usage}
+    heartbeats = store(beats, "owner", None)
+    gone = rt.maintain(runs, tables, heartbeats, 900, datetime(2001, 8, 1))
+    tables |= {"runs": runs, "heartbeats": heartbeats}
+    parts = [table.read().agg(F.count("*").alias("kept")).select(F.lit(name).alias("table"), "kept", F.lit(gone[name]).cast("bigint").alias("removed")) for name, table in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("report_summary", "WIN-11", sql="""
 SELECT a.run_id, coalesce(f.n, 0) AS n_findings, coalesce(r.n, 0) AS n_requirements, coalesce(t.n, 0) AS n_tests, coalesce(u.tokens, 0) AS tokens,
        printf('「goal %s」分析完成：发现 %d 条、需求 %d 条、测试用例 %d 条。模型成本 $%d.%04d（%d tokens）。数据状态：%s。',

@@ -315,3 +315,20 @@ def _(t):
 
     known = t.raw("embeddings").select(F.col("vec_id").alias("ord"), "embedding")
     return se.backfill_embeddings(t.corpus, known, embed).select("ord", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
+@query("embeddings_refused", "RET-16", sql="""
+SELECT ord, 'ValueError' AS error FROM corpus WHERE length(content) % 7 = 0 AND ord NOT IN (SELECT vec_id FROM embeddings)
+UNION ALL SELECT ord, 'vector' FROM corpus WHERE length(content) % 7 <> 0 OR ord IN (SELECT vec_id FROM embeddings)
+UNION ALL SELECT vec_id, 'vector' FROM embeddings WHERE vec_id NOT IN (SELECT ord FROM corpus)
+""")
+def _(t):
+    """An embedder that refuses some texts: their errors are rows, all others get their vectors."""
+    def embed(texts):
+        if any(len(x) % 7 == 0 for x in texts):
+            raise ValueError("refused")
+        return [[float(len(x)), 1.0] for x in texts]
+
+    known = t.raw("embeddings").select(F.col("vec_id").alias("ord"), "embedding")
+    vectors, failed = se.embed_missing(t.corpus, known, embed, 16)
+    return failed.unionByName(vectors.select("ord", F.lit("vector").alias("error")))
