@@ -158,7 +158,7 @@ def run_pairs(fps: list[int], sketches: np.ndarray, ids: list[int], classes: lis
         if classes[i] != large:
             near = [j for j in map(order.__getitem__, tree.near(fps[i])) if classes[j] != classes[i]]
             if near:
-                apart = np.bitwise_count(sketches[near] ^ sketches[i]).sum(axis=1)
+                apart = np.bitwise_count((sketches[near] ^ sketches[i]).view(np.uint64)).sum(axis=1)
                 for j, bits in zip(near, apart.tolist(), strict=True):
                     pair = (min(ids[i], ids[j]), max(ids[i], ids[j]))
                     if bits + (fps[i] ^ fps[j]).bit_count() > most or pair in refuted:
