@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.contained import spots, stands
 from ..functions.scan import row_numbers
 
 REVIEW_PLATFORMS = ("app-store", "google-play")  # fixed values
@@ -66,24 +67,17 @@ def redact(c: Column) -> Column:
     return F.substring(reduce(lambda text, mask: F.regexp_replace(text, *mask), MASKS, line), 1, MAX_MESSAGE)
 
 
-PIECE = 24
-
-
 def mask_reviews(messages: DataFrame, reviews: DataFrame) -> DataFrame:
     """Mask every review of its run that a message quotes, longest first.
 
-    messages: message_id, run_id, message; reviews: run_id, content_original. A review that a message contains has its
-    first characters somewhere in the message, so pieces of that length are the join key and only matches are compared whole.
+    messages: message_id, run_id, message; reviews: run_id, content_original. Quotes are found by anchors and digests
+    (`functions/contained.py`), so neither all pieces of a message nor the texts of reviews are shuffled.
     """
-    texts = reviews.where(F.length("content_original") > 0).select("run_id", "content_original").distinct()
-    size, key = F.least(F.length("content_original"), F.lit(PIECE)), F.xxhash64(F.substring("content_original", 1, PIECE))
-    texts = texts.select("run_id", "content_original", size.alias("n"), key.alias("piece"))
-    lengths = texts.select("run_id", "n").distinct()
-    runs_of = F.regexp_extract_all("message", F.concat(F.lit("(?s)(?=(.{"), "n", F.lit("}))")), F.lit(1))
-    pieces = messages.join(lengths, "run_id").select("message_id", "run_id", "n", F.explode(F.array_distinct(F.transform(runs_of, lambda piece: F.xxhash64(piece)))).alias("piece"))
-    likely = pieces.join(texts, ["run_id", "n", "piece"]).select("message_id", "content_original")
-    quoted = likely.join(messages.select("message_id", "message"), "message_id").where(F.contains("message", "content_original"))
-    longest_first = F.array_sort(F.collect_set(F.struct((-F.length("content_original")).alias("size"), F.col("content_original").alias("text"))))
-    masks = quoted.groupBy("message_id").agg(longest_first.alias("masks"))
-    masked = F.aggregate("masks", F.col("message"), lambda text, m: F.replace(text, m["text"], F.lit(MASKED_REVIEW)))
-    return messages.join(masks, "message_id", "left").withColumn("message", F.coalesce(masked, "message")).drop("masks")
+    digest = F.sha2("content_original", 256)
+    texts = reviews.where("content_original <> ''").select("run_id", F.col("content_original").alias("needle"), F.concat_ws("/", "run_id", digest).alias("needle_id"))
+    hay = messages.select("run_id", F.col("message_id").alias("hay_id"), F.col("message").alias("hay"))
+    likely = spots(texts, hay, ["run_id"]).groupBy(F.col("hay_id").alias("message_id")).agg(F.collect_set(F.struct("start", "n", "digest")).alias("spots"))
+    quoted = F.filter("spots", lambda s: stands(F.col("message"), s["start"], s["n"], s["digest"]))
+    longest_first = F.array_sort(F.transform(quoted, lambda s: F.struct((-s["n"]).alias("size"), F.substring("message", s["start"], s["n"]).alias("text"))))
+    masked = F.aggregate(F.array_distinct(longest_first), F.col("message"), lambda text, m: F.replace(text, m["text"], F.lit(MASKED_REVIEW)))
+    return messages.join(likely, "message_id", "left").withColumn("message", F.coalesce(masked, "message")).drop("spots")
