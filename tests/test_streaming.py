@@ -90,3 +90,16 @@ def test_late_rejects(spark, tmp_path):
     q.awaitTermination(120)
     assert sorted(r.id for r in spark.read.parquet(p("good")).collect()) == [0, 2]
     assert sorted((r.id, r.reject_reason) for r in spark.read.parquet(p("bad")).collect()) == [(1, "malformed"), (3, "late")]
+
+
+def test_small_files_share_a_micro_batch(spark, tmp_path):
+    """Micro-batches go by bytes: 250 small files took three of them before."""
+    inbox, corpus = tmp_path / "inbox", str(tmp_path / "corpus")
+    inbox.mkdir()
+    for i in range(250):
+        (inbox / f"{i}.json").write_text(json.dumps([{"id": f"d{i}", "content": "ok", "rating": 3, "date": "2026-01-02"}]))
+    good, _ = st.stream_reviews(spark, str(inbox), "app")
+    q = st.stream_upsert_corpus(good, corpus, str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    rows = spark.read.parquet(corpus)
+    assert rows.select("batch").distinct().count() == 1 and rows.select("review_id").distinct().count() == 250

@@ -15,13 +15,18 @@ from ..sources import reviews as rv
 from ..sources.sinks import latest_by
 
 
-def stream_reviews(spark: SparkSession, path: str, app_id: str, files_per_trigger: int = 100) -> tuple[DataFrame, DataFrame]:
+#: What a micro-batch reads at most, unless a number of files is given: small files must not each cost a share of a batch.
+BYTES_PER_TRIGGER = 1 << 28
+
+
+def stream_reviews(spark: SparkSession, path: str, app_id: str, files_per_trigger: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Landed JSON import files as two streams: valid reviews and rejects with their reason.
 
     No row is dropped for its age: files of any order and date arrive whole. Repeats of a review are settled by key in
     the corpus, where the latest row wins (`read_corpus`), so no state is kept and nothing is lost behind a watermark.
     """
-    files = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).load(path)
+    limit = ("maxBytesPerTrigger", BYTES_PER_TRIGGER) if files_per_trigger is None else ("maxFilesPerTrigger", files_per_trigger)
+    files = spark.readStream.format("text").option("wholetext", True).option(*limit).load(path)
     rows = rv.record_columns(rv.parse_records(files))
     named = rv.normalize_review_columns(rows.withColumns({"app_id": F.lit(app_id), "source": F.lit("import:json"), "ord": F.col("n")}))
     return rv.validate_import(named)
