@@ -180,3 +180,22 @@ def test_batches_same_for_any_partitioning(spark):
         sorted((r.ord, r.batch) for r in clean.pack_batches(df.repartition(n), ["run_id"], 7, 90, width=32).collect()) for n in (1, 7)
     ]
     assert results[0] == results[1]
+
+
+def test_trigrams_of_texts_are_not_moved(spark, monkeypatch):
+    """With profiles of the usual size no trigram is shuffled before it is summed up; joined profiles give the same."""
+    rows = spark.createDataFrame([(i, "en" if i % 2 else "de", "the price is fine " * 2 if i % 2 else "der preis ist gut " * 2) for i in range(8)], "ord bigint, language string, content_original string")
+    unknown = rows.withColumn("language", F.lit(None).cast("string"))
+    profiles = clean.fit_language_profiles(rows)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        filled = clean.fill_language(unknown, profiles)
+        joins = [x for x in filled._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x and "gram#" in x]
+        assert joins and all("BroadcastHashJoin" in x for x in joins)
+        monkeypatch.setattr(clean, "PROFILE_BYTES", 0)
+        again = clean.fill_language(unknown, profiles)
+        want = {i: "en" if i % 2 else "de" for i in range(8)}
+        assert dict(filled.select("ord", "language").collect()) == want == dict(again.select("ord", "language").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
