@@ -64,3 +64,26 @@ def test_containment_without_edits_shuffles_no_grams(spark, monkeypatch):
     rows = spark.createDataFrame([("a", 1, "timer freezes after a pause"), ("b", 1, "timer freezes after a pause now"), ("c", 2, "timer freezes after a pause no")], "cid string, rating int, comp string")
     rows = rows.withColumn("m", F.length("comp"))
     assert [tuple(r) for r in neardup.near_pairs(rows, rows, 100, within=True).collect()] == [("a", "b")]
+
+
+def test_only_asked_anchors_leave_a_haystack(spark):
+    """A haystack of 100,000 characters left some hundreds of anchors of the long tiers, whatever was asked for."""
+    rng = random.Random(5)
+    needle = "".join(chr(rng.randrange(97, 123)) for _ in range(1500))
+    far = "".join(chr(rng.randrange(97, 123)) for _ in range(100_000))
+    n = spark.createDataFrame([(1, 0, needle)], "needle_id int, k int, needle string")
+    h = spark.createDataFrame([(1, 0, far + needle + far[:999])], "hay_id int, k int, hay string")
+    chosen = spark.createDataFrame([(int(g),) for g in range(1000)], "gram bigint")
+    asked = contained._asked_map(chosen)
+    assert len(asked) * 64 >= contained.BITS_EACH * 1000 and sum(int(w).bit_count() for w in asked) == 1000
+    rows = contained.spots(n, h, ["k"])
+    assert [(r.start, r.n) for r in rows.collect()] == [(100_001, 1500)]
+
+
+def test_what_messages_share_joins_in_the_row(spark):
+    reviews = spark.createDataFrame([("r", 1, "abc def"), ("r", 2, "ghi"), ("s", 3, "zzz")], "run_id string, message_id int, content_original string")
+    shared = spark.createDataFrame([("r", "abc def"), ("s", "zzz")], "run_id string, other string")
+    message = F.concat("content_original", F.lit(" | "), "other")
+    got = dict(project.mask_reviews(reviews, reviews, message, shared).select("message_id", "message").collect())
+    m = project.MASKED_REVIEW
+    assert got == dict.fromkeys((1, 2, 3), f"{m} | {m}")

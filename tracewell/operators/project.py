@@ -67,17 +67,25 @@ def redact(c: Column) -> Column:
     return F.substring(reduce(lambda text, mask: F.regexp_replace(text, *mask), MASKS, line), 1, MAX_MESSAGE)
 
 
-def mask_reviews(messages: DataFrame, reviews: DataFrame) -> DataFrame:
+def mask_reviews(messages: DataFrame, reviews: DataFrame, message: Column | None = None, shared: DataFrame | None = None) -> DataFrame:
     """Mask every review of its run that a message quotes, longest first.
 
     messages: message_id, run_id, message; reviews: run_id, content_original. Quotes are found by anchors and digests
     (`functions/contained.py`), so neither all pieces of a message nor the texts of reviews are shuffled.
+
+    `message` makes the message from columns of `messages` and of `shared`, one row per run; it is made in the row behind all
+    joins by message, so that what the messages of a run have in common is never moved with each of them.
     """
+
+    def whole(rows: DataFrame) -> DataFrame:
+        rows = rows if shared is None else rows.join(shared, "run_id", "left")
+        return rows if message is None else rows.withColumn("message", message)
+
     digest = F.sha2("content_original", 256)
     texts = reviews.where("content_original <> ''").select("run_id", F.col("content_original").alias("needle"), F.concat_ws("/", "run_id", digest).alias("needle_id"))
-    hay = messages.select("run_id", F.col("message_id").alias("hay_id"), F.col("message").alias("hay"))
+    hay = whole(messages).select("run_id", F.col("message_id").alias("hay_id"), F.col("message").alias("hay"))
     likely = spots(texts, hay, ["run_id"]).groupBy(F.col("hay_id").alias("message_id")).agg(F.collect_set(F.struct("start", "n", "digest")).alias("spots"))
     quoted = F.filter("spots", lambda s: stands(F.col("message"), s["start"], s["n"], s["digest"]))
     longest_first = F.array_sort(F.transform(quoted, lambda s: F.struct((-s["n"]).alias("size"), F.substring("message", s["start"], s["n"]).alias("text"))))
     masked = F.aggregate(F.array_distinct(longest_first), F.col("message"), lambda text, m: F.replace(text, m["text"], F.lit(MASKED_REVIEW)))
-    return messages.join(likely, "message_id", "left").withColumn("message", F.coalesce(masked, "message")).drop("spots")
+    return whole(messages.join(likely, "message_id", "left")).withColumn("message", F.coalesce(masked, "message")).drop("spots")
