@@ -149,3 +149,21 @@ def test_similar_edges(spark):
     assert sorted(map(sorted, classes.values())) == [[1, 2], [3, 4], [5, 5, 6]]
     named, found = similar.groups(docs.where("false"), 5, 0.8, "id", "words")
     assert named.count() == 0 and found.count() == 0
+
+
+def test_a_large_group_of_near_misses_hands_on_few_pairs(spark, monkeypatch):
+    """Texts at 0.74 to each other: comparing all of their pairs makes no rows of them, and links among them are found."""
+    shared, rows, n = text(5, 170).split(" "), [], 300
+    for i in range(n):
+        rows.append((i, " ".join(shared + text(100 + i, 26).split(" "))))
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(0, n, 10)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    asked, judge = [], similar.confirmed
+
+    def counting(pairs, *rest):
+        asked.append(pairs.select("a", "b").distinct().count())
+        return judge(pairs, *rest)
+
+    monkeypatch.setattr(similar, "confirmed", counting)
+    kept = sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, SF).collect())
+    assert kept == list(range(n)) and sum(asked) <= 60 * n, asked

@@ -92,7 +92,9 @@ def shard_masks(nodes: int, radius: int) -> list[int]:
 
 
 def _members(nodes: DataFrame, radius: int, n: int) -> DataFrame:
-    keys = F.array(*[F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(mask).cast("bigint")).alias("masked")) for i, mask in enumerate(shard_masks(n, radius))])
+    masks = shard_masks(n, radius)
+    first = F.col("turn") * len(masks) if "turn" in nodes.columns else F.lit(0)
+    keys = F.array(*[F.struct((first + i).alias("combo"), F.col("fp").bitwiseAND(F.lit(mask).cast("bigint")).alias("masked")) for i, mask in enumerate(masks)])
     rows = nodes.select(F.explode(keys).alias("k"), "fp", "id").select("k.combo", "k.masked", "fp", "id")
     return rows.repartition("combo", "masked").sortWithinPartitions("combo", "masked", "id")
 
@@ -158,12 +160,13 @@ def _pair_of_trees(rows: pd.DataFrame, radius: int) -> pd.DataFrame:
 
 
 def links(nodes: DataFrame, radius: int = 3, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """Links (a, b) between ids of distinct fingerprints (fp, id), enough to connect every class.
+    """Links (a, b) between ids of distinct fingerprints (fp, id), enough to connect every class; with a column `turn`, of every turn.
 
     nodes is read twice: pass a written table.
     """
     arrow_rows(nodes.sparkSession, 20_000)
-    members = _members(nodes, radius, nodes.count())
+    turns = ["turn"] if "turn" in nodes.columns else []
+    members = _members(nodes, radius, nodes.groupBy(*turns).count().agg(F.max("count")).head()[0] or 0)
     found = members.mapInPandas(
         lambda batches: _shards(batches, radius, tree_rows), "combo int, masked bigint, tree int, fp bigint, a bigint, b bigint")
     found = staged(found, "simhash-links")
@@ -182,12 +185,7 @@ def turn_links(prints: DataFrame, radius: int = 3, tree_rows: int = TREE_ROWS) -
     nodes = staged(turns.groupBy("turn", "fp").agg(F.min("key").alias("id")), "simhash-nodes")
     equal = turns.join(nodes, ["turn", "fp"]).where("key <> id").select(F.col("key").alias("a"), F.col("id").alias("b"))
     last = prints.select(F.max(F.size("fps"))).head()[0] or 0
-    found = None
-    for turn in range(last):
-        one = links(staged(nodes.where(F.col("turn") == turn).select("fp", "id"), "simhash-turn"), radius, tree_rows)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = equal
+    found = links(nodes, radius, tree_rows)
     return found.unionByName(equal) if last > 1 else found
 
 

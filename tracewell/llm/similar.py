@@ -15,11 +15,13 @@ shard, so pairs by chance never leave it. A shard hands on a spanning forest: a
 yet by pairs it has handed on, so fewer pairs than members, never all pairs of a group of copies. Pairs whose fingerprints differ in over
 `SCREEN` of all bits are refuted, all others are compared by their shingles and link from `least` on. Classes are contracted.
 A shard that left out a pair names its members; if one of its pairs was refuted, it is worked once more from these, with the classes as they
-are then and all fingerprints in its rows: it hands on what differs in `NEARBY_ALL` of all bits at most and is left between different classes (near misses), so the classes are those
-of all pairs that share a block and pass radius, screens and comparison.
+are then, and with all fingerprints and the shingle hashes of the set in its rows: what differs in `NEARBY_ALL` of all bits at most is compared there, and only links leave,
+fewer than members. So near misses, which can be all pairs of a group, are never rows, and the classes are those of all pairs that share a block and pass radius,
+screens and comparison.
 
 Sets of four and five shingles are worse than the law (a bit differs with probability 0.19): 98 of 100 such pairs are found.
-A shard of any size is a sorted stream to one task, which holds its fingerprints (16 bytes and a tree node a member).
+A shard of any size is a sorted stream to one task, which holds its fingerprints (16 bytes and a tree node a member; when worked once more, all
+fingerprints and 8 bytes a shingle).
 
 Nulls: a null or empty text has no shingles; all of these are one node. A null key is left out. Columns of `docs` may have any names.
 """
@@ -28,7 +30,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,6 +49,8 @@ NEAR, NEAR_TURNS, RADIUS, MISS, SCREEN = 3, 4, 16, 5e-4, 0.22
 #: Fingerprints that are worked first; how many others a shard compares, and the share of bits in which they may differ;
 #: the share where all fingerprints are compared (four deviations from the law at 0.8).
 FIRST_TURNS, SKETCH, NEARBY, NEARBY_ALL = 6, 1, 0.2, 0.2
+#: Rows of a batch when shards are worked once more, with sets of shingles.
+SET_ROWS = 1_000
 #: Pairs (a, b), and the members (a) of shards that left out pairs.
 PROPOSED = "combo bigint, masked bigint, more boolean, a bigint, b bigint, member boolean"
 LANES = np.uint64(0x0101010101010101)
@@ -90,6 +94,25 @@ def fingerprints(docs: DataFrame, shingle: int, turns: int, id_col: str, text_co
     return rows.select("key", *keep, "p.n_shingles", "p.set_hash", "p.fps")
 
 
+def shingle_hash_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """id and the distinct shingle hashes of each text, in order."""
+
+    @F.pandas_udf("array<bigint>")
+    def hashes(values: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in values], dtype=object)
+
+    return texts.select("id", hashes("text").alias("hashes"))
+
+
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sets of distinct hashes have a Jaccard index of `least` or more."""
+    few, many = sorted((len(x), len(y)))
+    if not many or few / many < least:
+        return not many
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (few + many - both) >= least
+
+
 def shingle_set(text: str | None, k: int) -> set[bytes]:
     w = words(text)
     if not w:
@@ -137,6 +160,9 @@ class _Forest:
             self.parent[c] = c = self.parent.get(up, up)
         return c
 
+    def connected(self, a: int, b: int) -> bool:
+        return self.find(a) == self.find(b)
+
     def joined(self, a: int, b: int) -> bool:
         """Connect two classes; false if they were."""
         a, b = self.find(a), self.find(b)
@@ -144,16 +170,17 @@ class _Forest:
         return a != b
 
 
-def run_pairs(fps: list[int], sketches: np.ndarray, ids: list[int], classes: list[int], refuted: set[tuple[int, int]], radius: int, forest: bool) -> tuple[list[tuple[int, int]], bool]:
+def run_pairs(fps: list[int], sketches: np.ndarray, ids: list[int], classes: list[int], refuted: set[tuple[int, int]], radius: int, forest: bool, good: Callable[[int, int], bool] | None = None) -> tuple[list[tuple[int, int]], bool]:
     """Pairs of ids of different classes within the radius, and whether others were left out for them.
 
-    With `forest`, pairs that connect all classes that can be connected, else all that aren't refuted. The largest class is only looked up in.
+    With `forest`, pairs that connect all classes that can be connected, else all that aren't refuted; with `good`, which compares two
+    members by their places, pairs it confirms that connect all classes such pairs can connect. The largest class is only looked up in.
     """
     large, n = Counter(classes).most_common(1)[0]
     if n == len(classes):
         return [], False
     tree, order, pairs, more, links = BKTree(radius), [], [], False, _Forest()
-    most = int(64 * (1 + sketches.shape[1]) * (NEARBY if forest else NEARBY_ALL))
+    most = int(64 * (1 + sketches.shape[1]) * (NEARBY if forest and good is None else NEARBY_ALL))
     for i in sorted(range(len(fps)), key=lambda i: classes[i] != large):
         if classes[i] != large:
             near = [j for j in map(order.__getitem__, tree.near(fps[i])) if classes[j] != classes[i]]
@@ -163,6 +190,8 @@ def run_pairs(fps: list[int], sketches: np.ndarray, ids: list[int], classes: lis
                     pair = (min(ids[i], ids[j]), max(ids[i], ids[j]))
                     if bits + (fps[i] ^ fps[j]).bit_count() > most or pair in refuted:
                         continue
+                    if good is not None and (links.connected(classes[i], classes[j]) or not good(i, j)):
+                        continue
                     if not forest or links.joined(classes[i], classes[j]):
                         pairs.append(pair)
                     else:
@@ -172,39 +201,42 @@ def run_pairs(fps: list[int], sketches: np.ndarray, ids: list[int], classes: lis
     return pairs, more
 
 
-def _shards(batches: Iterator[pd.DataFrame], radius: int, forest: bool) -> Iterator[pd.DataFrame]:
-    """Proposals of each run of rows with one shard key; a run may go on in the next batch. Rows without class are refuted pairs (fp, id)."""
-    columns, held = ["combo", "masked", "fp", "id", "class", "member"], []
+def _shards(batches: Iterator[pd.DataFrame], radius: int, least: float) -> Iterator[pd.DataFrame]:
+    """Proposals of each run of rows with one shard key, or links where rows have their shingle hashes; a run may go on in the next batch."""
+    columns, held = ["combo", "masked", "fp", "id", "class"], []
 
-    def out(rows: np.ndarray) -> pd.DataFrame:
+    def out(rows: np.ndarray, sets: np.ndarray) -> pd.DataFrame:
         at = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1), True]) if len(rows) else np.zeros(0, np.int64)
         found = []
         for i in np.flatnonzero(np.diff(at) > 1):
-            run = rows[at[i] : at[i + 1]]
-            member = run[:, 5] == 1
-            refuted = set(map(tuple, run[~member, 2:4].tolist()))
-            run = run[member]
-            pairs, more = run_pairs(run[:, 2].copy().view(np.uint64).tolist(), run[:, 6:], run[:, 3].tolist(), (run[:, 4] ^ run[:, 3]).tolist(), refuted, radius, forest) if len(run) > 1 else ([], False)
+            run, own = rows[at[i] : at[i + 1]], sets[at[i] : at[i + 1]]
+            good = (lambda x, y, own=own: alike(own[x], own[y], least)) if own[0] is not None else None
+            pairs, more = run_pairs(run[:, 2].copy().view(np.uint64).tolist(), run[:, 5:], run[:, 3].tolist(), (run[:, 4] ^ run[:, 3]).tolist(), set(), radius, True, good)
             found += [(rows[at[i], 0], rows[at[i], 1], more, a, b, False) for a, b in pairs]
             if more:
                 found += [(rows[at[i], 0], rows[at[i], 1], True, a, a, True) for a in run[:, 3].tolist()]
         return pd.DataFrame(found, columns=["combo", "masked", "more", "a", "b", "member"]).astype(
             {"combo": "int64", "masked": "int64", "more": "bool", "a": "int64", "b": "int64", "member": "bool"})
 
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([r for r, _ in held]), np.concatenate([s for _, s in held])
+
     for batch in batches:
-        rows = batch[[*columns, *[c for c in batch.columns if c not in columns]]].to_numpy(np.int64)
+        rows = batch[[*columns, *[c for c in batch.columns if c not in columns and c != "hashes"]]].to_numpy(np.int64)
+        sets = batch["hashes"].to_numpy() if "hashes" in batch.columns else np.full(len(rows), None, object)
         if not len(rows):
             continue
-        if held and (rows[0, :2] == held[-1][-1, :2]).all() and (rows[0, :2] == rows[-1, :2]).all():
-            held.append(rows)
+        last = held[-1][0][-1, :2] if held else None
+        held.append((rows, sets))
+        if last is not None and (rows[0, :2] == last).all() and (rows[0, :2] == rows[-1, :2]).all():
             continue
-        rows = np.concatenate([*held, rows])
+        rows, sets = joined()
         starts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
         last = starts[-1] if len(starts) else 0
-        yield out(rows[:last])
-        held = [rows[last:]]
+        yield out(rows[:last], sets[:last])
+        held = [(rows[last:], sets[last:])]
     if held:
-        yield out(np.concatenate(held))
+        yield out(*joined())
 
 
 def _after(turn: Column, n: int) -> list[Column]:
@@ -226,7 +258,7 @@ def members(nodes: DataFrame, first: int, turns: int, width: int) -> DataFrame:
         F.struct(((F.col("turn") + first) * per + i).cast("bigint").alias("combo"), F.shiftright("fp", i * width).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).alias("masked"))
         for i in range(per)])
     rows = prints.withColumn("k", F.explode(blocks))
-    return rows.select("k.combo", "k.masked", "fp", "id", "class", F.lit(1).cast("bigint").alias("member"), *[f"s{i}" for i in range(SKETCH)])
+    return rows.select("k.combo", "k.masked", "fp", "id", "class", *[f"s{i}" for i in range(SKETCH)])
 
 
 def linked(nodes: DataFrame, texts: DataFrame, known: DataFrame, first: int, turns: int, total: int, width: int, shingle: int, least: float, radius: int = RADIUS) -> DataFrame:
@@ -234,29 +266,34 @@ def linked(nodes: DataFrame, texts: DataFrame, known: DataFrame, first: int, tur
     spark, per = nodes.sparkSession, 64 // width
     links, classed, tables = (Rounds(spark, f"similar-{name}") for name in ("links", "classed", "proposed"))
 
-    def with_class() -> DataFrame:
-        classes = components(known).select("id", F.col("component").alias("class"))
-        return classed.put(nodes.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")))
+    def stars(links: DataFrame) -> DataFrame:
+        """The same classes: each node with the least of its class."""
+        return components(links).where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+    def with_class(known: DataFrame) -> DataFrame:
+        rows = nodes.join(known.select(F.col("a").alias("id"), F.col("b").alias("class")), "id", "left")
+        return classed.put(rows.withColumn("class", F.coalesce("class", "id")))
 
-    def work(rows: DataFrame, forest: bool) -> tuple[DataFrame, DataFrame]:
+    def work(rows: DataFrame, batch: int) -> DataFrame:
         rows = rows.repartition("combo", "masked").sortWithinPartitions("combo", "masked")
-        arrow_rows(spark, 20_000)
-        found = tables.put(rows.mapInPandas(lambda batches: _shards(batches, radius, forest), PROPOSED))
-        return found, confirmed(found.where("NOT member"), nodes, texts, shingle, least)
+        arrow_rows(spark, batch)
+        return tables.put(rows.mapInPandas(lambda batches: _shards(batches, radius, least), PROPOSED))
 
-    found, judged = work(members(with_class(), first, turns, width), True)
+    known = stars(known)
+    found = work(members(with_class(known), first, turns, width), 20_000)
+    judged = confirmed(found.where("NOT member"), nodes, texts, shingle, least)
     known = links.put(known.unionByName(judged.where("good").select("a", "b")))
-    bad = found.where("more AND NOT member").join(judged.where("NOT good").select("a", "b"), ["a", "b"]).select("combo", "masked", "a", "b")
+    bad = found.where("more AND NOT member").join(judged.where("NOT good").select("a", "b"), ["a", "b"]).select("combo", "masked").distinct()
     bad = staged(bad, "similar-refuted")
     if bad.head(1):
-        again = found.where("member").select("combo", "masked", F.col("a").alias("id")).join(bad.select("combo", "masked").distinct(), ["combo", "masked"], "left_semi")
-        turn = F.expr(f"combo div {per}")
-        rows = again.join(with_class(), "id").select("combo", "masked", F.get("fps", turn.cast("int")).alias("fp"), "id", _class(), F.lit(1).cast("bigint").alias("member"), *_after(turn, total - 1))
-        # Refuted pairs go with the rows of their shard.
-        none = [F.lit(0).cast("bigint").alias(c) for c in ("class", "member", *[f"s{i}" for i in range(total - 1)])]
-        rows = rows.unionByName(bad.select("combo", "masked", F.col("a").alias("fp"), F.col("b").alias("id"), *none))
-        _, judged = work(rows, False)
-        known = links.put(known.unionByName(judged.where("good").select("a", "b")))
+        again = found.where("member").select("combo", "masked", F.col("a").alias("id")).join(bad, ["combo", "masked"], "left_semi")
+        known = stars(known)
+        asked = texts.join(again.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+        arrow_rows(spark, SET_ROWS)
+        sets = staged(shingle_hash_sets(asked, shingle), "similar-sets")
+        rows, turn = again.join(with_class(known), "id").join(sets, "id"), F.expr(f"combo div {per}")
+        rows = rows.select("combo", "masked", F.get("fps", turn.cast("int")).alias("fp"), "id", _class(), *_after(turn, total - 1), "hashes")
+        known = links.put(known.unionByName(work(rows, SET_ROWS).where("NOT member").select("a", "b")))
     classed.clear()
     tables.clear()
     return known
