@@ -199,3 +199,18 @@ def test_trigrams_of_texts_are_not_moved(spark, monkeypatch):
         assert dict(filled.select("ord", "language").collect()) == want == dict(again.select("ord", "language").collect())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_texts_of_blocks_are_written_once(spark, monkeypatch):
+    """Over several blocks, texts stay in the table of classes and in that of what is kept, not in a table per step."""
+    held, write = [], neardup.staged
+
+    def recording(df, name):
+        out = write(df, name)
+        held.append((name, out.count() if "comp" in out.columns else 0))
+        return out
+
+    monkeypatch.setattr(neardup, "staged", recording)
+    rows = [(i, f"r{i}", 3, f"review number {i} of its own kind {i * 7919}") for i in range(80)]
+    assert set(reasons(spark, rows, 100, first_block=10).values()) == {"kept"}
+    assert len([n for n, _ in held if n == "dup-winners"]) > 2 and sum(n for _, n in held) <= 2 * len(rows), held
