@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +168,17 @@ def test_a_large_group_of_near_misses_hands_on_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(similar, "confirmed", counting)
     kept = sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, SF).collect())
     assert kept == list(range(n)) and sum(asked) <= 60 * n, asked
+
+
+def test_only_the_part_of_a_shard_that_left_out_a_pair_names_its_members():
+    """Members that no pair connects to a left-out pair aren't worked once more."""
+    near, alone, pair = [7, 7 ^ 1, 7 ^ 2, 7 ^ 4], [1 << 60 | 0xFFFF_0000, 0xABCD_EF01_2345], [0xFFFF_FFFF << 20, 0xFFFF_FFFF << 20 ^ 8]
+    fps = np.array([*near, *alone, *pair], np.int64)
+    ids = np.arange(1, 9)
+    batch = pd.DataFrame({"combo": 0, "masked": 0, "fp": fps, "id": ids, "class": 0, "s0": fps})
+    out = pd.concat(similar._shards(iter([batch]), 3, 0.8))
+    assert set(out[out["member"]]["a"]) == {1, 2, 3, 4}
+    pairs = out[~out["member"]]
+    assert len(pairs) == 4 and set(pairs[pairs["more"]]["a"]) | set(pairs[pairs["more"]]["b"]) == {1, 2, 3, 4}
+    assert set(pairs[~pairs["more"]]["a"]) | set(pairs[~pairs["more"]]["b"]) == {7, 8}
+    assert pairs[pairs["more"]]["part"].nunique() == 1 and set(out[out["member"]]["part"]) == set(pairs[pairs["more"]]["part"])

@@ -14,8 +14,8 @@ A row carries the next fingerprint too (`SKETCH`), and a pair that differs in ov
 shard, so pairs by chance never leave it. A shard hands on a spanning forest: a pair only where its two classes aren't connected
 yet by pairs it has handed on, so fewer pairs than members, never all pairs of a group of copies. Pairs whose fingerprints differ in over
 `SCREEN` of all bits are refuted, all others are compared by their shingles and link from `least` on. Classes are contracted.
-A shard that left out a pair names its members; if one of its pairs was refuted, it is worked once more from these, with the classes as they
-are then, and with all fingerprints and the shingle hashes of the set in its rows: what differs in `NEARBY_ALL` of all bits at most is compared there, and only links leave,
+Pairs handed on connect parts of a shard. A part with a pair left out names its members; if one of its pairs was refuted, its members are worked once
+more, with the classes as they are then, and with all fingerprints and the shingle hashes of the set in its rows: what differs in `NEARBY_ALL` of all bits at most is compared there, and only links leave,
 fewer than members. So near misses, which can be all pairs of a group, are never rows, and the classes are those of all pairs that share a block and pass radius,
 screens and comparison.
 
@@ -51,8 +51,8 @@ NEAR, NEAR_TURNS, RADIUS, MISS, SCREEN = 3, 4, 16, 5e-4, 0.22
 FIRST_TURNS, SKETCH, NEARBY, NEARBY_ALL = 6, 1, 0.2, 0.2
 #: Rows of a batch when shards are worked once more, with sets of shingles.
 SET_ROWS = 1_000
-#: Pairs (a, b), and the members (a) of shards that left out pairs.
-PROPOSED = "combo bigint, masked bigint, more boolean, a bigint, b bigint, member boolean"
+#: Pairs (a, b), and the members (a) of parts of shards that left out pairs.
+PROPOSED = "combo bigint, masked bigint, part bigint, more boolean, a bigint, b bigint, member boolean"
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -176,10 +176,16 @@ def run_pairs(fps: list[int], sketches: np.ndarray, ids: list[int], classes: lis
     With `forest`, pairs that connect all classes that can be connected, else all that aren't refuted; with `good`, which compares two
     members by their places, pairs it confirms that connect all classes such pairs can connect. The largest class is only looked up in.
     """
+    pairs, _, left, _ = connecting_pairs(fps, sketches, ids, classes, refuted, radius, forest, good)
+    return pairs, bool(left)
+
+
+def connecting_pairs(fps: list[int], sketches: np.ndarray, ids: list[int], classes: list[int], refuted: set[tuple[int, int]], radius: int, forest: bool, good: Callable[[int, int], bool] | None = None) -> tuple[list[tuple[int, int]], list[int], set[int], _Forest]:
+    """As `run_pairs`: the pairs, a class of each, classes of pairs that were left out, and how the pairs connect classes."""
     large, n = Counter(classes).most_common(1)[0]
     if n == len(classes):
-        return [], False
-    tree, order, pairs, more, links = BKTree(radius), [], [], False, _Forest()
+        return [], [], set(), _Forest()
+    tree, order, pairs, of, left, links = BKTree(radius), [], [], [], set(), _Forest()
     most = int(64 * (1 + sketches.shape[1]) * (NEARBY if forest and good is None else NEARBY_ALL))
     for i in sorted(range(len(fps)), key=lambda i: classes[i] != large):
         if classes[i] != large:
@@ -194,11 +200,12 @@ def run_pairs(fps: list[int], sketches: np.ndarray, ids: list[int], classes: lis
                         continue
                     if not forest or links.joined(classes[i], classes[j]):
                         pairs.append(pair)
+                        of.append(classes[i])
                     else:
-                        more = True
+                        left.add(classes[i])
         tree.add(fps[i])
         order.append(i)
-    return pairs, more
+    return pairs, of, left, links
 
 
 def _shards(batches: Iterator[pd.DataFrame], radius: int, least: float) -> Iterator[pd.DataFrame]:
@@ -211,12 +218,14 @@ def _shards(batches: Iterator[pd.DataFrame], radius: int, least: float) -> Itera
         for i in np.flatnonzero(np.diff(at) > 1):
             run, own = rows[at[i] : at[i + 1]], sets[at[i] : at[i + 1]]
             good = (lambda x, y, own=own: alike(own[x], own[y], least)) if own[0] is not None else None
-            pairs, more = run_pairs(run[:, 2].copy().view(np.uint64).tolist(), run[:, 5:], run[:, 3].tolist(), (run[:, 4] ^ run[:, 3]).tolist(), set(), radius, True, good)
-            found += [(rows[at[i], 0], rows[at[i], 1], more, a, b, False) for a, b in pairs]
+            ids, classes = run[:, 3].tolist(), (run[:, 4] ^ run[:, 3]).tolist()
+            pairs, of, left, links = connecting_pairs(run[:, 2].copy().view(np.uint64).tolist(), run[:, 5:], ids, classes, set(), radius, True, good)
+            more = {links.find(c) for c in left}
+            found += [(rows[at[i], 0], rows[at[i], 1], part := links.find(c), part in more, a, b, False) for (a, b), c in zip(pairs, of, strict=True)]
             if more:
-                found += [(rows[at[i], 0], rows[at[i], 1], True, a, a, True) for a in run[:, 3].tolist()]
-        return pd.DataFrame(found, columns=["combo", "masked", "more", "a", "b", "member"]).astype(
-            {"combo": "int64", "masked": "int64", "more": "bool", "a": "int64", "b": "int64", "member": "bool"})
+                found += [(rows[at[i], 0], rows[at[i], 1], part, True, a, a, True) for a, c in zip(ids, classes, strict=True) if (part := links.find(c)) in more]
+        return pd.DataFrame(found, columns=["combo", "masked", "part", "more", "a", "b", "member"]).astype(
+            {"combo": "int64", "masked": "int64", "part": "int64", "more": "bool", "a": "int64", "b": "int64", "member": "bool"})
 
     def joined() -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([r for r, _ in held]), np.concatenate([s for _, s in held])
@@ -283,10 +292,10 @@ def linked(nodes: DataFrame, texts: DataFrame, known: DataFrame, first: int, tur
     found = work(members(with_class(known), first, turns, width), 20_000)
     judged = confirmed(found.where("NOT member"), nodes, texts, shingle, least)
     known = links.put(known.unionByName(judged.where("good").select("a", "b")))
-    bad = found.where("more AND NOT member").join(judged.where("NOT good").select("a", "b"), ["a", "b"]).select("combo", "masked").distinct()
+    bad = found.where("more AND NOT member").join(judged.where("NOT good").select("a", "b"), ["a", "b"]).select("combo", "masked", "part").distinct()
     bad = staged(bad, "similar-refuted")
     if bad.head(1):
-        again = found.where("member").select("combo", "masked", F.col("a").alias("id")).join(bad, ["combo", "masked"], "left_semi")
+        again = found.where("member").select("combo", "masked", "part", F.col("a").alias("id")).join(bad, ["combo", "masked", "part"], "left_semi").drop("part")
         known = stars(known)
         asked = texts.join(again.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
         arrow_rows(spark, SET_ROWS)
