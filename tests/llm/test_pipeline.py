@@ -182,3 +182,11 @@ def test_only_the_part_of_a_shard_that_left_out_a_pair_names_its_members():
     assert len(pairs) == 4 and set(pairs[pairs["more"]]["a"]) | set(pairs[pairs["more"]]["b"]) == {1, 2, 3, 4}
     assert set(pairs[~pairs["more"]]["a"]) | set(pairs[~pairs["more"]]["b"]) == {7, 8}
     assert pairs[pairs["more"]]["part"].nunique() == 1 and set(out[out["member"]]["part"]) == set(pairs[pairs["more"]]["part"])
+
+
+def test_texts_that_no_pair_asks_for_are_dropped_where_they_are_read(spark):
+    texts = spark.range(-1000, 1000).selectExpr("id", "concat('t', id) AS text").unionByName(spark.range(5).selectExpr("id", "concat('t', id) AS text"))
+    needed = spark.range(-3, 4)
+    assert similar.maybe_needed(texts, needed).count() <= 30
+    assert sorted((r.id, r.text) for r in similar.texts_of(texts, needed).collect()) == [(i, f"t{i}") for i in range(-3, 4)]
+    assert similar.texts_of(texts, needed.where("false")).count() == 0

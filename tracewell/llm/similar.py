@@ -42,6 +42,7 @@ from ..session import Rounds, staged
 from .bk_tree import BKTree
 from .common import arrow_rows, words
 from .components import components
+from .decontamination import _bit_map
 from .simhash import SEED, remixed, shingle_hashes, turn_links
 
 #: Pass 1: bits and fingerprints; pass 2: bits within a shard; the share of pairs at `least` that share no block; differing bits of all.
@@ -49,6 +50,8 @@ NEAR, NEAR_TURNS, RADIUS, MISS, SCREEN = 3, 4, 16, 5e-4, 0.22
 #: Fingerprints that are worked first; how many others a shard compares, and the share of bits in which they may differ;
 #: the share where all fingerprints are compared (four deviations from the law at 0.8).
 FIRST_TURNS, SKETCH, NEARBY, NEARBY_ALL = 6, 1, 0.2, 0.2
+#: Bits of the map of ids whose texts are asked for, as a power of two.
+MAP_BITS = 22
 #: Rows of a batch when shards are worked once more, with sets of shingles.
 SET_ROWS = 1_000
 #: Pairs (a, b), and the members (a) of parts of shards that left out pairs.
@@ -126,6 +129,24 @@ def jaccard(a: str | None, b: str | None, k: int) -> float:
     return both / (len(x) + len(y) - both) if x or y else 1.0
 
 
+def maybe_needed(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """The texts of the needed ids and few others, by a bit map of fixed size where texts are read; both have id."""
+    hashed = F.xxhash64(F.col("id").cast("bigint"))
+    bits = np.packbits(_bit_map(needed.select(hashed.alias("fp")), MAP_BITS), bitorder="little")
+
+    @F.pandas_udf("boolean")
+    def marked(hashes: pd.Series) -> pd.Series:
+        slots = (hashes.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+        return pd.Series((bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1)
+
+    return texts.where(marked(hashed))
+
+
+def texts_of(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """id and text of the needed ids, once each; other texts are not moved."""
+    return maybe_needed(texts, needed).join(needed, "id", "left_semi").dropDuplicates(["id"])
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """Distinct pairs (a, b) with `good`: whether their shingle sets have a Jaccard index of `least` or more.
 
@@ -142,7 +163,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     screened = staged(both.select("a", "b", (apart <= F.size("x") * 64 * SCREEN).alias("open")), "similar-screened")
     open_ = screened.where("open").select("a", "b")
     needed = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = texts.join(needed, "id", "left_semi").dropDuplicates(["id"])
+    held = texts_of(texts, needed)
     arrow_rows(pairs.sparkSession, 200)
     rows = open_.join(held.select(F.col("id").alias("a"), F.col("text").alias("left_text")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("right_text")), "b")
     judged = rows.select("a", "b", similar("left_text", "right_text").alias("good"))
@@ -297,7 +318,7 @@ def linked(nodes: DataFrame, texts: DataFrame, known: DataFrame, first: int, tur
     if bad.head(1):
         again = found.where("member").select("combo", "masked", "part", F.col("a").alias("id")).join(bad, ["combo", "masked", "part"], "left_semi").drop("part")
         known = stars(known)
-        asked = texts.join(again.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+        asked = texts_of(texts, again.select("id").distinct())
         arrow_rows(spark, SET_ROWS)
         sets = staged(shingle_hash_sets(asked, shingle), "similar-sets")
         rows, turn = again.join(with_class(known), "id").join(sets, "id"), F.expr(f"combo div {per}")
