@@ -139,7 +139,8 @@ def _(t):
     inbox, corpus, checkpoint = (stage_path(t.spark, name) for name in ("inbox", "corpus", "corpus-checkpoint"))
     files = landed(t)
     for _ in range(2):
-        files.repartition("file").write.mode("append").partitionBy("file").text(inbox)
+        # One file each, but no folder each: a stream opens a folder per file to list them, which takes longer than to read them.
+        files.repartition("file").select("value").write.mode("append").option("maxRecordsPerFile", 1).text(inbox)
         good, _rejects = streams.stream_reviews(t.spark, inbox, "app")
         streams.stream_upsert_corpus(good, corpus, checkpoint).trigger(availableNow=True).start().awaitTermination()
     rows = streams.read_corpus(t.spark, corpus).where("review_id LIKE 'd%'")
